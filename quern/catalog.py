@@ -122,8 +122,8 @@ sparql(
 )
 sparql("SELECT ?p WHERE { ?p a q:Part MINUS { ?l q:part ?p ; q:quantity ?k FILTER(?k > 48) } }", f"SELECT '{NS}part/' || p_partkey AS p FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 48)", "minus_anti")
 sparql('SELECT ?p ?b WHERE { ?p q:brand ?b FILTER(?b IN ("Brand#11", "Brand#12", "Brand#23")) }', f"SELECT '{NS}part/' || p_partkey AS p, p_brand AS b FROM part WHERE p_brand IN ('Brand#11', 'Brand#12', 'Brand#23')", "filter_in")
-sparql('SELECT ?p ?t WHERE { ?p q:partType ?t FILTER(CONTAINS(LCASE(?t), "steel") && !STRSTARTS(?t, "SMALL")) }', f"SELECT '{NS}part/' || p_partkey AS p, p_type AS t FROM part WHERE contains(lower(p_type), 'steel') AND NOT starts_with(p_type, 'SMALL')", "filter_string")
-sparql('SELECT ?p ?n WHERE { ?p q:partName ?n FILTER REGEX(?n, "^part.*[13579]$", "i") }', f"SELECT '{NS}part/' || p_partkey AS p, p_name AS n FROM part WHERE regexp_matches(p_name, '^part.*[13579]$', 'i')", "filter_regex")
+sparql('SELECT ?p ?t WHERE { ?p q:partType ?t FILTER(CONTAINS(LCASE(?t), "m") && !STRSTARTS(?t, "SMALL")) }', f"SELECT '{NS}part/' || p_partkey AS p, p_type AS t FROM part WHERE contains(lower(p_type), 'm') AND NOT starts_with(p_type, 'SMALL')", "filter_string")
+sparql('SELECT ?p ?n WHERE { ?p q:partName ?n FILTER REGEX(?n, "^(RED|BLUE) .*t$", "i") }', f"SELECT '{NS}part/' || p_partkey AS p, p_name AS n FROM part WHERE regexp_matches(p_name, '^(RED|BLUE) .*t$', 'i')", "filter_regex")
 sparql("SELECT ?p ?z ?r WHERE { ?p q:size ?z ; q:price ?r FILTER(?z >= 10 && ?z < 20 && (?r > 1500 || ?r <= 1000)) }", f"SELECT '{NS}part/' || p_partkey AS p, p_size AS z, p_retailprice AS r FROM part WHERE p_size >= 10 AND p_size < 20 AND (p_retailprice > 1500 OR p_retailprice <= 1000)", "filter_numeric")
 sparql("SELECT ?x WHERE { ?x a q:Doc FILTER NOT EXISTS { ?x q:docLang ?l } }", f"SELECT '{NS}doc/' || doc_id AS x FROM documents WHERE lang IS NULL", "filter_open_world")
 sparql("SELECT ?x (BOUND(?l) AS ?known) (COALESCE(?l, \"none\") AS ?lang) WHERE { ?x a q:Doc OPTIONAL { ?x q:docLang ?l } }", f"SELECT '{NS}doc/' || doc_id AS x, lang IS NOT NULL AS known, coalesce(lang, 'none') AS lang FROM documents", "bound_coalesce")
@@ -584,9 +584,9 @@ def confidence_groups(spark: SparkSession, d: str) -> DataFrame:
     return R.counts_in_order(table(spark, d, "candidate_matches"), "confidence", ["strong", "probable", "ambiguous"])
 
 
-@query("SELECT p_partkey AS id, instr(lower(p_name), '7') - 1 AS position FROM part WHERE instr(lower(p_name), '7') > 0")
+@query("SELECT p_partkey AS id, instr(lower(p_name), 'g') - 1 AS position FROM part WHERE instr(lower(p_name), 'g') > 0")
 def substring_rank(spark: SparkSession, d: str) -> DataFrame:
-    return R.substring_rank(table(spark, d, "part"), "p_name", "7", [F.col("p_partkey").asc()]).select(F.col("p_partkey").alias("id"), "position")
+    return R.substring_rank(table(spark, d, "part"), "p_name", "g", [F.col("p_partkey").asc()]).select(F.col("p_partkey").alias("id"), "position")
 
 
 @query("SELECT p_partkey AS id, row_number() OVER (ORDER BY p_partkey) AS place FROM part")
