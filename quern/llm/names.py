@@ -50,14 +50,15 @@ def latin(text: str) -> str:
 
 
 @functools.lru_cache(maxsize=200_000)
-def spelling(word: str) -> str:
-    """The spelling key of a word: v is u, j and y are i, k is c, ph is f, and so on; double letters count once; -os is -us."""
+def spelling(word: str, whole: bool = True) -> str:
+    """The spelling key of a word: v is u, j and y are i, k is c, ph is f, and so on; double letters count once; the ending -os is
+    -us (not of a word cut short, which has no ending)."""
     w = re.sub(r"[^a-z]", "", latin(word))
     w = re.sub(r"([^uv])\1+", r"\1", w)
-    w = re.sub(r"e?y$", "i", w)
+    w = re.sub(r"e?y$", "i", w) if whole else w
     for a, b in (("ph", "f"), ("th", "t"), ("ch", "c"), ("rh", "r"), ("v", "u"), ("w", "u"), ("j", "i"), ("y", "i"), ("k", "c"), ("z", "s")):
         w = w.replace(a, b)
-    return re.sub(r"os$", "us", w)
+    return re.sub(r"os$", "us", w) if whole else w
 
 
 @functools.lru_cache(maxsize=200_000)
@@ -155,7 +156,7 @@ def parse(text: str | None) -> Name:
         return Name(found, None, False, None, None, father)
     raw = words[0]
     cut = raw.endswith(".") and len(words) > 1 and len(spelling(raw)) >= 2
-    nomen = spelling(raw)
+    nomen = spelling(raw, not cut)
     cognomen = spelling(words[1]) if len(words) > 1 else None
     return Name(found, nomen, cut, cognomen or None, None if cut else gender(nomen), father)
 

@@ -29,10 +29,11 @@ def _forms(row: tuple) -> tuple[str | None, str | None, str | None, list[dict]]:
     if not father and filiation:
         father = names.praenomen(filiation.split(" ")[0])
     raw = names._marks.sub("", names._bracket.sub(" ", nomen or "")).strip()
-    field = names.spelling(raw)
+    short = raw.endswith(".")
+    field = names.spelling(raw, not short)
     stems = [(n.nomen, n.cut)] if n.nomen else []
-    if field and (field, False) not in stems and (field, True) not in stems:
-        stems.append((field, raw.endswith(".")))
+    if field and (field, short) not in stems:
+        stems.append((field, short))
     surname = names.spelling(names._marks.sub("", names._bracket.sub(" ", cognomen or "")))
     seconds = list(dict.fromkeys(names.cognomen_key(c) for c in (n.cognomen, surname) if c)) or [""]
     gender = next((g for x, cut in stems if not cut and (g := names.gender(x))), None)
