@@ -91,7 +91,7 @@ def nomen_key(key: str) -> str:
 
 
 # Endings of surnames, pet forms included; what precedes them is the stem.
-COGNOMEN_ENDINGS = ("illus", "ilus", "ulus", "clus", "us", "or", "io", "ion", "ex", "ix", "ax", "a")
+COGNOMEN_ENDINGS = ("ilus", "ulus", "clus", "ila", "ula", "cla", "us", "or", "ion", "io", "ex", "ix", "ax", "a")
 
 
 def cognomen_key(key: str) -> str:

@@ -12,8 +12,8 @@ from quern.llm import names
 from quern.llm.metric import RADIUS, near_pivots, pivots
 from quern.runtime import durable
 
-#: Letters of a nomen cut short that must agree; shorter ones match nothing.
-HEAD = 4
+#: Least letters of a nomen cut short (shorter ones match nothing), and how many of its first ones must agree exactly.
+HEAD, EXACT = 4, 2
 #: Years by which a date may lie outside a range before it contradicts it.
 SLACK = 2
 
@@ -68,7 +68,7 @@ def parsed(df: DataFrame, ident: str, columns: dict[str, str], keep: dict[str, C
 def candidate_points(left: DataFrame, right: DataFrame) -> DataFrame:
     """Distinct pairs of spellings that may mean one person: ``l_nomen, l_cut, l_second, r_nomen, r_cut, r_second, d1, d2``.
 
-    Both parts within RADIUS edits (see :mod:`quern.llm.metric`); a nomen cut short agrees with one that it begins.
+    Both parts within RADIUS edits (see :mod:`quern.llm.metric`); a nomen cut short agrees with one that begins like it, a slip aside.
     """
     cols = ["nomen", "first", "cut", "second"]
     a = durable(left.select(*cols).distinct())
@@ -94,10 +94,12 @@ def candidate_points(left: DataFrame, right: DataFrame) -> DataFrame:
     d1 = F.when(F.col("g1") == 0, F.col("f1")).otherwise(F.levenshtein("l_first", "r_first")).alias("d1")
     whole = lw.join(rw, ["p1", "p2"]).where(reach2 & (F.col("f1") <= F.lit(RADIUS) + F.col("g1")) & same_blank).select("l_nomen", "l_cut", "l_second", "r_nomen", "r_cut", "r_second", d1, d2)
 
-    lh = l.withColumn("head", F.substring("l_nomen", 1, HEAD)).where(F.char_length("l_nomen") >= HEAD)
-    rh = r.withColumn("head", F.substring("r_nomen", 1, HEAD)).where(F.char_length("r_nomen") >= HEAD)
-    begins = F.when(F.col("l_cut") & F.col("r_cut"), F.col("l_nomen").startswith(F.col("r_nomen")) | F.col("r_nomen").startswith(F.col("l_nomen"))).when(F.col("l_cut"), F.col("r_nomen").startswith(F.col("l_nomen"))).otherwise(F.col("l_nomen").startswith(F.col("r_nomen")))
-    one_cut = lambda x, y: x.join(y, ["head", "p2"]).where(reach2 & begins & same_blank & (F.col("l_second") != "")).select("l_nomen", "l_cut", "l_second", "r_nomen", "r_cut", "r_second", F.lit(0).alias("d1"), d2)
+    lh = l.withColumn("head", F.substring("l_nomen", 1, EXACT)).where(F.char_length("l_nomen") >= HEAD)
+    rh = r.withColumn("head", F.substring("r_nomen", 1, EXACT)).where(F.char_length("r_nomen") >= HEAD)
+    n = F.when(F.col("l_cut") & F.col("r_cut"), F.least(F.char_length("l_nomen"), F.char_length("r_nomen"))).when(F.col("l_cut"), F.char_length("l_nomen")).otherwise(F.char_length("r_nomen"))
+    begin = F.levenshtein(F.substring("l_nomen", F.lit(1), n), F.substring("r_nomen", F.lit(1), n))
+    begins = begin <= 1
+    one_cut = lambda x, y: x.join(y, ["head", "p2"]).where(reach2 & begins & same_blank & (F.col("l_second") != "")).select("l_nomen", "l_cut", "l_second", "r_nomen", "r_cut", "r_second", begin.alias("d1"), d2)
     short = one_cut(lh.where("l_cut"), rh).unionByName(one_cut(lh.where("not l_cut"), rh.where("r_cut")))
     return whole.unionByName(short).where((F.col("d1") <= RADIUS) & (F.col("d2") <= RADIUS)).select(*out)
 
