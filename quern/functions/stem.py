@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.runtime import ship
+
 _C, _V = "[^aeiou](?:[^aeiouy])*", "[aeiouy][aeiou]*"
 _M0 = re.compile(f"^(?:{_C})?{_V}{_C}")
 _M1 = re.compile(f"^(?:{_C})?{_V}{_C}(?:{_V})?$")
@@ -87,6 +89,7 @@ def tokens(text: str | None) -> list[str]:
 
 def stemmed_tokens(text: Column) -> Column:
     """The stemmed words of a text, by Arrow batches: the stemmer rewrites a word step by step."""
+    ship()
 
     @F.pandas_udf("array<string>")
     def stems(texts: pd.Series) -> pd.Series:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.stem import plain_tokens, stemmed_tokens, tokens
 from quern.operators.relational import top_k
-from quern.runtime import durable
+from quern.runtime import durable, ship
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 #: Vectors of a query set sent to the executors at once.
@@ -107,6 +107,7 @@ def similarity_join(left: DataFrame, right: DataFrame, k: int = 10, least: float
     import pyarrow as pa
 
     spark = left.sparkSession
+    ship(spark)
     l = durable(left.where(F.col(ident).isNotNull() & F.col(vec).isNotNull()).select(F.col(ident).cast("long").alias("id"), F.col(vec).cast("array<float>").alias("vec")))  # noqa: E741
     blocks = max(1, math.ceil(l.count() / QUERY_BLOCK))
     out = None

@@ -8,12 +8,37 @@ a recomputation of the loop, and the row count of the table is free (it is in th
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[str, SparkSession] = {}
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession | None = None) -> None:
+    """Makes this package importable in the Python workers of all executors; once per application.
+
+    Functions that run there import it.  Where it is not installed on the nodes, it is sent as one small archive.
+    """
+    context = (spark or SparkSession.active()).sparkContext
+    if context.applicationId in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="quern-package-")
+    archive = os.path.join(folder, "quern_package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(here):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    path = os.path.join(base, f)
+                    z.write(path, os.path.join("quern", os.path.relpath(path, here)))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+    atexit.register(lambda: __import__("shutil").rmtree(folder, ignore_errors=True))
 
 
 def session(cpus: int = 8, name: str = "quern", **conf: str) -> SparkSession:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.plans.syntax import RDF, TYPE, XSD, Iri, Lit, Parser, SparqlError, Var
+from quern.runtime import ship
 from quern.sources.graphs import QUADS
 
 _XML = "{http://www.w3.org/XML/1998/namespace}"
@@ -205,6 +206,7 @@ def read_files(spark: SparkSession, path: str, strict: bool = True) -> DataFrame
 
     Files whose name starts with ``_`` are sidecars and are passed over.  A file that cannot be parsed fails the read; with ``strict`` off it is dropped.
     """
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).where(~F.substring_index("path", "/", -1).startswith("_")).select("path", "content")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,6 +226,8 @@ def read_files(spark: SparkSession, path: str, strict: bool = True) -> DataFrame
 def verify(spark: SparkSession, path: str) -> DataFrame:
     """``(path, triples, error)`` for each file, parsed strictly."""
 
+    ship(spark)
+
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
