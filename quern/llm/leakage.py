@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.sentences import sentence_ends
+from quern.runtime import ship
 
 #: Words in a row that make a leak, single changed words between them included.
 ROW = 20
@@ -164,6 +165,8 @@ def _normal_sentences(text: str | None) -> list[list[str]]:
 def stock_sentences(items: DataFrame, text: str = "text", least: int = STOCK) -> set[str]:
     """The sentences that stand in at least ``least`` items of different text: instructions, not contents."""
 
+    ship(items.sparkSession)
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(" ".join(s), _hash(t or "") >> 1) for t in b.column(0).to_pylist() for s in _normal_sentences(t) if s]
@@ -186,6 +189,7 @@ def leaks(documents: DataFrame, items: DataFrame, ident: str = "doc_id", item: s
     Each hit fixes an alignment, along which the row is then verified word by word.  Documents are never shuffled; only leaks are.
     """
     spark = documents.sparkSession
+    ship(spark)
     stock = stock_sentences(items, text)
     kind, item_kind = documents.schema[ident].dataType.simpleString(), items.schema[item].dataType.simpleString()
     held = items.where(f"`{item}` is not null and `{text}` is not null").select(item, text)

@@ -2,28 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.names import distances
 from quern.runtime import durable
 
 #: Every word of the indexed side lies within COVER edits of its pivot; pairs within RADIUS edits are found.
 COVER, RADIUS = 1, 2
-#: Pivots sent to the executors at once (about 2 MB); more are searched in further passes.
-PASS = 65_536
-_ALPHABET = "abcdefghijklmnopqrstuvwxyz"
-_REPEATS = 3
+#: Words of more letters are compared by parts instead of deletions, whose number grows with the square of the length.
+LONG = 40
 
 
 def _deletions(word: Column) -> Column:
-    """The word and all words that lack one of its letters: words within one edit share one of them."""
+    """The word and all words that lack one of its letters: words within one edit share one of them.  Of a long word, itself."""
     less = F.transform(F.sequence(F.lit(1), F.char_length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.char_length(word))))
-    return F.array_distinct(F.concat(F.array(word), F.when(F.char_length(word) > 0, less).otherwise(F.array().cast("array<string>"))))
+    return F.array_distinct(F.concat(F.array(word), F.when(F.char_length(word).between(1, LONG + RADIUS), less).otherwise(F.array().cast("array<string>"))))
 
 
 def pivots(words: DataFrame) -> DataFrame:
@@ -44,76 +37,47 @@ def pivots(words: DataFrame) -> DataFrame:
     return words.join(assigned, "word", "left").select("word", F.coalesce("pivot", "word").alias("pivot"), F.when(F.col("pivot").isNull(), 0).otherwise(COVER).cast("int").alias("gap"))
 
 
-def _bags(words: list[str]) -> np.ndarray:
-    """Letter counts as 0/1 columns (first, second, third a, ...): the dot product counts the letters two words share."""
-    out = np.zeros((len(words), len(_ALPHABET) * _REPEATS), np.float32)
-    for i, w in enumerate(words):
-        seen: dict[str, int] = {}
-        for c in w:
-            k = seen.get(c, 0)
-            j = _ALPHABET.find(c)
-            if j >= 0 and k < _REPEATS:
-                out[i, j * _REPEATS + k] = 1
-            seen[c] = k + 1
-    return out
+def _segments(length: Column, word: Column, shift: Column | int = 0) -> Column:
+    """Keys of three parts of a word as if it had ``length`` letters, read ``shift`` letters further on."""
+    part = (length / (RADIUS + 1)).cast("int")
+    return F.array(*[F.concat_ws("|", length, F.lit(i), F.substring(word, part * i + 1 + shift, part if i < RADIUS else length)) for i in range(RADIUS + 1)])
 
 
-def _within(words: list[str], targets: list[str], bags: np.ndarray, lengths: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All (word, target, distance) within ``radius``.
+def _keys(word: Column, asked: bool) -> Column:
+    """Keys such that any two words within RADIUS edits share one: what is left after up to two deletions, for long words one of three parts.
 
-    The longer of two words has at least ``longer - shared`` letters to change, where letters beyond the third of a kind count as shared:
-    a lower bound of the edit distance, by one matrix product; what passes is measured exactly.
+    ``asked`` words, compared with held ones, carry the keys of both kinds near the limit, and the parts for each length and shift.
+    """
+    n = F.char_length(word)
+    none = F.array().cast("array<string>")
+    short = F.array_distinct(F.flatten(F.transform(_deletions(word), _deletions)))
+    if not asked:
+        return F.when(n <= LONG, short).otherwise(_segments(n, word))
+    lengths = F.sequence(n - RADIUS, n + RADIUS)
+    moved = F.flatten(F.transform(lengths, lambda m: F.flatten(F.transform(F.sequence(F.lit(-RADIUS), F.lit(RADIUS)), lambda k: _segments(m, word, k)))))
+    return F.concat(F.when(n <= LONG + RADIUS, short).otherwise(none), F.when(n > LONG - RADIUS, F.array_distinct(moved)).otherwise(none))
+
+
+def near_cells(words: DataFrame, own: DataFrame) -> DataFrame:
+    """``(word, pivot, far)``: the cells to which each word is copied, and its distance from their pivots.
+
+    By the triangle inequality a word within RADIUS of a word of the cell lies within RADIUS + gap of the cell's pivot; of the cells of such
+    pivots, those stay in which some word is that near.  The words within the radius are found by shared keys (an equi-join that grows with the
+    words, not with their product) and measured exactly.
     """
-    rows, cols, dist = [], [], []
-    mine, size = _bags(words), np.array([len(w) for w in words])
-    extra = lambda b, n: n - b.sum(1)
-    spare_t, spare_w = extra(bags, lengths), extra(mine, size)
-    for lo in range(0, len(words), 256):
-        m = mine[lo : lo + 256]
-        shared = m @ bags.T
-        longer = np.maximum(size[lo : lo + 256, None], lengths[None])
-        ok = longer - shared - np.minimum(spare_w[lo : lo + 256, None], spare_t[None]) <= radius
-        r, c = np.nonzero(ok)
-        if not len(r):
-            continue
-        d = distances([words[lo + i] for i in r], [targets[j] for j in c])
-        k = d <= radius
-        rows.append(r[k] + lo)
-        cols.append(c[k])
-        dist.append(d[k])
-    join = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
-    return join(rows), join(cols), join(dist)
-
-
-def near_pivots(words: DataFrame, pivot_words: DataFrame, radius: int = RADIUS + COVER) -> DataFrame:
-    """``(word, pivot, far)``: every pivot within ``radius`` edits of each word; the pivots are a query set, searched in bounded passes."""
-    spark = words.sparkSession
-    pivot_words = durable(pivot_words.select("pivot").distinct())
-    passes = max(1, -(-pivot_words.count() // PASS))
-    out = None
-    for k in range(passes):
-        targets = sorted(r["pivot"] for r in pivot_words.where(F.pmod(F.xxhash64("pivot"), F.lit(passes)) == k).collect())
-        sent = spark.sparkContext.broadcast((targets, _bags(targets).astype(np.uint8), np.array([len(t) for t in targets])))
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            targets, bags, lengths = sent.value
-            bags = bags.astype(np.float32)
-            for b in batches:
-                ws = b.column(0).to_pylist()
-                r, c, d = _within(ws, targets, bags, lengths, radius)
-                yield pa.RecordBatch.from_arrays([pa.array([ws[i] for i in r], pa.string()), pa.array([targets[j] for j in c], pa.string()), pa.array(d.tolist(), pa.int32())], names=["word", "pivot", "far"])
-
-        part = words.select("word").mapInArrow(search, "word string, pivot string, far int")
-        out = part if out is None else out.unionByName(part)
-    return out
+    asked = words.select("word", F.explode(_keys(F.col("word"), True)).alias("v"))
+    held = own.select(F.col("word").alias("r"), "pivot", F.explode(_keys(F.col("word"), False)).alias("v"))
+    met = asked.join(held, "v").select("word", "r", "pivot").distinct()
+    cells = met.where(F.levenshtein("word", "r", RADIUS) >= 0).select("word", "pivot").distinct()
+    return cells.select("word", "pivot", F.levenshtein("word", "pivot").alias("far"))
 
 
 def radius_join(left: DataFrame, right: DataFrame, first: str, second: str) -> DataFrame:
     """Distinct ``(left first, left second, right first, right second, d1, d2)`` with both words within RADIUS edits.
 
     Points are pairs of words under the larger of the two edit distances, a metric.  Each right point lies in the cell of its words'
-    pivots.  A left point within RADIUS of it lies, by the triangle inequality, within RADIUS + gap of those pivots, so it is copied to
-    exactly the cells of such pivots, and inside a cell (an equi-join on the pivots) every pair that passes is measured.  No pair within the
+    pivots.  A left point within RADIUS of it lies, by the triangle inequality, within RADIUS + gap of those pivots; it is copied to
+    the cells of such pivots (see :func:`near_cells`), and inside a cell (an equi-join on the pivots) every pair that passes is measured.  No pair within the
     radius is missed; no other is returned.  Null words are dropped; empty words only equal empty words.
     """
     a = durable(left.select(F.col(first).alias("a1"), F.col(second).alias("a2")).dropna().distinct())
@@ -122,8 +86,8 @@ def radius_join(left: DataFrame, right: DataFrame, first: str, second: str) -> D
     for i in ("1", "2"):
         own = pivots(b.groupBy(F.col(f"b{i}").alias("word")).agg(F.count(F.lit(1)).alias("n")))
         own = durable(own)
-        asked = a.select(F.col(f"a{i}").alias("word")).distinct().repartition(max(8, 4 * left.sparkSession.sparkContext.defaultParallelism))
-        sides.append((own, durable(near_pivots(asked, own))))
+        asked = a.select(F.col(f"a{i}").alias("word")).distinct()
+        sides.append((own, durable(near_cells(asked, own))))
     (own1, near1), (own2, near2) = sides
     cells = b.join(own1.toDF("b1", "p1", "g1"), "b1").join(own2.toDF("b2", "p2", "g2"), "b2")
     copies = a.join(near1.toDF("a1", "p1", "f1"), "a1").join(near2.toDF("a2", "p2", "f2"), "a2")

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.runtime import durable
+from quern.runtime import durable, ship
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -46,6 +46,7 @@ def _pieces(text: str) -> Iterator[str]:
 
 def token_count(tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY):
     """A vectorised function of a text column: its number of tokens; 0 for null and empty texts."""
+    ship()
     path = os.path.join(tokenizers, vocabulary)
 
     @F.pandas_udf("long")

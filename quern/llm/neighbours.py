@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.runtime import durable
+from quern.runtime import durable, ship
 
 #: Rows that the partition centres and the code books are fitted on; every row is indexed.
 SAMPLE = 65_536
@@ -184,6 +184,7 @@ def top_similar(vectors: DataFrame, ident: str = "doc_id", vec: str = "vec", k:
     too large for a task are searched block by block.  The search is approximate: tests measure its recall (at least 0.9 demanded).
     """
     spark = vectors.sparkSession
+    ship(spark)
     one = vectors.where(F.col(ident).isNotNull() & usable(vec, dims)).groupBy(F.col(ident).cast("long").alias("id")).agg(F.min(F.col(vec).cast("array<float>")).alias("vec"))
     keyed = one.select("id", "vec", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2"))
     rows = durable(keyed)

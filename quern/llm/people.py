@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import names
-from quern.llm.metric import RADIUS, near_pivots, pivots
-from quern.runtime import durable
+from quern.llm.metric import RADIUS, near_cells, pivots
+from quern.runtime import durable, ship
 
 #: Least letters of a nomen cut short (shorter ones match nothing), and how many of its first ones must agree exactly.
 HEAD, EXACT = 4, 2
@@ -47,6 +47,7 @@ def parsed(df: DataFrame, ident: str, columns: dict[str, str], keep: dict[str, C
     ``columns`` says which column holds the name, praenomen, nomen, cognomen and filiation; what a field lacks is taken from
     the name and the other way round; where both are there and differ, both spellings count.
     """
+    ship(df.sparkSession)
     cols = [(F.col(columns[f]) if f in columns else F.lit(None)).cast("string").alias(f) for f in _FIELDS]
     source = df.where(F.col(ident).isNotNull()).select(F.col(ident).alias("id"), *cols, *[c.alias(k) for k, c in keep.items()])
     kept = source.select("id", *keep).schema
@@ -73,12 +74,11 @@ def candidate_points(left: DataFrame, right: DataFrame) -> DataFrame:
     cols = ["nomen", "first", "cut", "second"]
     a = durable(left.select(*cols).distinct())
     b = durable(right.select(*cols).distinct())
-    spread = 4 * left.sparkSession.sparkContext.defaultParallelism
 
     def axis(column: str) -> tuple[DataFrame, DataFrame]:
         own = durable(pivots(b.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("word")).agg(F.count(F.lit(1)).alias("n"))))
-        asked = a.select(F.col(column).alias("word")).dropna().distinct().repartition(max(8, spread))
-        return own, durable(near_pivots(asked, own))
+        asked = a.select(F.col(column).alias("word")).dropna().distinct()
+        return own, durable(near_cells(asked, own))
 
     own1, near1 = axis("first")
     own2, near2 = axis("second")

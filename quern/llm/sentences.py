@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quern.runtime import ship
+
 # Classes of characters, the transducer's input alphabet.
 IGNORE, SPACE, LOWER, UPPER, DIGIT, OPEN, CLOSE, STOP, HARD, JOIN, SYMBOL, SAID, BREAK = range(13)
 CLASSES = 13
@@ -293,6 +295,7 @@ def sentences(documents: DataFrame, ident: str = "doc_id", text: str = "text") -
     any mark is one sentence; repeated ids give the ends of each of their texts, once each; an empty table gives an empty result.
     Other columns are ignored.  There is no shuffle but the one that drops rows repeated within ``documents``.
     """
+    ship(documents.sparkSession)
     kind = documents.schema[ident].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

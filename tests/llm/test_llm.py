@@ -271,7 +271,8 @@ def test_radius_join_is_exact(spark):
     firsts, seconds = [word(8) for _ in range(12)], [word(7) for _ in range(9)]
     points = [(a, b) for a in firsts for b in seconds if rng.random() < 0.4]
     side = lambda: list({(slip(a) if rng.random() < 0.6 else a, slip(slip(b)) if rng.random() < 0.3 else b) for a, b in points for _ in range(3)})
-    left, right = [*side(), ("", "x"), (None, "x")], [*side(), ("", "x"), ("ab", None)]
+    long = [word(n) for n in (37, 39, 40, 41, 42, 43, 60, 300)]
+    left, right = [*side(), ("", "x"), (None, "x"), *[(slip(slip(w)), "x") for w in long for _ in range(6)]], [*side(), ("", "x"), ("ab", None), *[(w, "x") for w in long]]
     got = {(r["a1"], r["a2"], r["b1"], r["b2"]) for r in radius_join(spark.createDataFrame(left, "f string, s string"), spark.createDataFrame(right, "f string, s string"), "f", "s").collect()}
     ok = [(p, q) for p in left for q in right if None not in (*p, *q)]
     d1, d2 = (names.distances([p[k] for p, _ in ok], [q[k] for _, q in ok]) for k in (0, 1))
