@@ -1,4 +1,7 @@
-"""Metric-space partitioning of words: pivots, cells, replication by the triangle inequality, exact radius joins."""
+"""Metric-space partitioning of words: pivots, cells, replication by the triangle inequality, exact radius joins.
+
+Joins on keys are hinted as merges: the keys are made from small files, whose size says nothing about theirs, and would be broadcast.
+"""
 
 from __future__ import annotations
 
@@ -28,7 +31,7 @@ def pivots(words: DataFrame) -> DataFrame:
     words = durable(words)
     spread = words.select("word", "n", F.explode(_deletions(F.col("word"))).alias("v"))
     other = spread.select(F.col("word").alias("other"), F.col("n").alias("m"), "v")
-    near = spread.join(other, "v").where("word <> other").select("word", "n", "other", "m").distinct()
+    near = spread.join(other.hint("merge"), "v").where("word <> other").select("word", "n", "other", "m").distinct()
     near = durable(near.where(F.levenshtein("word", "other", COVER) >= 0))
     beaten = near.where("m > n or (m = n and other < word)").select("word").distinct()
     top = durable(words.join(beaten, "word", "left_anti").select("word"))
@@ -67,7 +70,7 @@ def near_cells(words: DataFrame, own: DataFrame) -> DataFrame:
     """
     asked = words.select("word", F.explode(_keys(F.col("word"), True)).alias("v"))
     held = own.select(F.col("word").alias("r"), "pivot", F.explode(_keys(F.col("word"), False)).alias("v"))
-    met = asked.join(held, "v").select("word", "r", "pivot").distinct()
+    met = asked.join(held.hint("merge"), "v").select("word", "r", "pivot").distinct()
     cells = met.where(F.levenshtein("word", "r", RADIUS) >= 0).select("word", "pivot").distinct()
     return cells.select("word", "pivot", F.levenshtein("word", "pivot").alias("far"))
 
