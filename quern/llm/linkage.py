@@ -15,6 +15,8 @@ TOLERANCE, ROUNDS, DAMPING = 1e-3, 40, 0.5
 PRIOR = 3.0
 EDITS = (0.0, -0.8, -2.2, -4.0, -6.0)
 FORENAME, FATHER, DATE, OFFICE = 1.5, 1.0, 1.5, 0.4
+#: Against a pair of which only one side has a surname.
+BARE = -2.5
 SCORED = 1.5
 
 
@@ -77,14 +79,15 @@ def pair_log_odds() -> Column:
     said = lambda c, w: F.when(F.coalesce(c, F.lit(False)), F.lit(w)).otherwise(F.lit(0.0))
     office = F.lower(F.trim("l_office")) == F.lower(F.trim("r_office"))
     scored = F.coalesce((F.col("score") - 0.4) * SCORED, F.lit(0.0))
-    return F.lit(PRIOR) + _edits() + said(F.col("prae"), FORENAME) + said(F.col("father"), FATHER) + said(F.col("dated"), DATE) + said(office, OFFICE) + scored
+    return F.lit(PRIOR) + _edits() + said(F.col("bare").isNotNull(), BARE) + said(F.col("prae"), FORENAME) + said(F.col("father"), FATHER) + said(F.col("dated"), DATE) + said(office, OFFICE) + scored
 
 
 def match_people(contexts: DataFrame, persons: DataFrame, scored: DataFrame | None = None) -> DataFrame:
     """``(context_id, dprr_uri, confidence)``: contexts and the reference persons they may name.
 
     Candidates come from :func:`quern.llm.people.candidate_pairs` (no shared key: names within two edits a part, by metric cells); a pair is out
-    if forename, gender, father, or date and era, where given, contradict.  Its log-odds sum what the attributes say, with the best of
+    if forename, gender, father, or date and era, where given, contradict.  A surname may be missing on one side; then forename, father or date
+    must support the pair, and it weighs less.  Its log-odds sum what the attributes say, with the best of
     ``scored`` (``context_id, dprr_uri, score``; only scores from 0 to 1) as weak evidence.  Belief propagation then weighs rivals: a
     context names at most one person; a person may be named by any number of contexts, so the factor on that side, which
     :func:`propagate` has, is off.

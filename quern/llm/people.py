@@ -66,10 +66,12 @@ def parsed(df: DataFrame, ident: str, columns: dict[str, str], keep: dict[str, C
     return out.select("id", "prae", "gender", "father", F.explode("forms").alias("f"), *keep).select("id", "prae", "gender", "father", "f.*", *keep)
 
 
-def candidate_points(left: DataFrame, right: DataFrame) -> DataFrame:
+def candidate_points(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs of spellings that may mean one person: ``l_nomen, l_cut, l_second, r_nomen, r_cut, r_second, d1, d2``.
 
     Both parts within RADIUS edits (see :mod:`quern.llm.metric`); a nomen cut short agrees with one that begins like it, a slip aside.
+    A surname that only one side has is missing on the other: for such names the second table has pairs of nomina alone, ``l_nomen,
+    l_cut, r_nomen, r_cut, d1``.
     """
     cols = ["nomen", "first", "cut", "second"]
     a = durable(left.select(*cols).distinct())
@@ -89,10 +91,11 @@ def candidate_points(left: DataFrame, right: DataFrame) -> DataFrame:
     same_blank = (F.col("l_second") == "") == (F.col("r_second") == "")
     out = ["l_nomen", "l_cut", "l_second", "r_nomen", "r_cut", "r_second", "d1", "d2"]
 
+    reach1 = F.col("f1") <= F.lit(RADIUS) + F.col("g1")
     lw = l.where("not l_cut").join(near1.toDF("l_first", "p1", "f1"), "l_first")
     rw = r.where("not r_cut").join(own1.toDF("r_first", "p1", "g1"), "r_first")
     d1 = F.when(F.col("g1") == 0, F.col("f1")).otherwise(F.levenshtein("l_first", "r_first")).alias("d1")
-    whole = lw.join(rw, ["p1", "p2"]).where(reach2 & (F.col("f1") <= F.lit(RADIUS) + F.col("g1")) & same_blank).select("l_nomen", "l_cut", "l_second", "r_nomen", "r_cut", "r_second", d1, d2)
+    whole = lw.join(rw, ["p1", "p2"]).where(reach2 & reach1 & same_blank).select("l_nomen", "l_cut", "l_second", "r_nomen", "r_cut", "r_second", d1, d2)
 
     lh = l.withColumn("head", F.substring("l_nomen", 1, EXACT)).where(F.char_length("l_nomen") >= HEAD)
     rh = r.withColumn("head", F.substring("r_nomen", 1, EXACT)).where(F.char_length("r_nomen") >= HEAD)
@@ -101,7 +104,13 @@ def candidate_points(left: DataFrame, right: DataFrame) -> DataFrame:
     begins = begin <= 1
     one_cut = lambda x, y: x.join(y, ["head", "p2"]).where(reach2 & begins & same_blank & (F.col("l_second") != "")).select("l_nomen", "l_cut", "l_second", "r_nomen", "r_cut", "r_second", begin.alias("d1"), d2)
     short = one_cut(lh.where("l_cut"), rh).unionByName(one_cut(lh.where("not l_cut"), rh.where("r_cut")))
-    return whole.unionByName(short).where((F.col("d1") <= RADIUS) & (F.col("d2") <= RADIUS)).select(*out)
+
+    kinds = lambda df, p: df.groupBy(*[F.col(c).alias(f"{p}_{c}") for c in cols[:3]]).agg(F.max(F.col("second") == "").alias(f"{p}_bare"), F.max(F.col("second") != "").alias(f"{p}_named"))
+    one_bare = F.expr("l_bare and r_named or l_named and r_bare")
+    lk = kinds(a.where("not cut"), "l").join(near1.toDF("l_first", "p1", "f1"), "l_first")
+    rk = kinds(b.where("not cut"), "r").join(own1.toDF("r_first", "p1", "g1"), "r_first")
+    nomina = lk.join(rk, "p1").where(one_bare & reach1).select("l_nomen", "l_cut", "r_nomen", "r_cut", d1).where(F.col("d1") <= RADIUS)
+    return whole.unionByName(short).where((F.col("d1") <= RADIUS) & (F.col("d2") <= RADIUS)).select(*out), nomina
 
 
 def agree(a: str, b: str) -> Column:
@@ -115,17 +124,36 @@ def date_agrees(start: str, end: str, low: str, high: str) -> Column:
     return F.when(first.isNotNull() & F.coalesce(low, high).isNotNull(), (last >= F.coalesce(low, F.col(high) - 100) - SLACK) & (first <= F.coalesce(high, F.col(low) + 100) + SLACK))
 
 
+def _bare_rows(l: DataFrame, r: DataFrame, nomina: DataFrame) -> DataFrame:  # noqa: E741
+    """Rows of both sides whose nomina agree and of which only one has a surname, from ``nomina``.
+
+    The forename, which must not differ, is part of the key: it splits the rows of a large family.
+    """
+    some = F.array(*[F.lit(p) for p in (*names.PRAENOMINA, "")])
+    asked = lambda c: F.explode(F.when(F.col(c).isNull(), some).otherwise(F.array(F.col(c), F.lit("")))).alias("k")
+    own = lambda c: F.coalesce(F.col(c), F.lit("")).alias("k")
+    parts = [("l_second = ''", asked, "r_second <> ''", own), ("l_second <> ''", own, "r_second = ''", asked)]
+    near = [l.where(x).select("*", kx("l_prae")).join(nomina, ["l_nomen", "l_cut"]).join(r.where(y).select("*", ky("r_prae")), ["r_nomen", "r_cut", "k"]) for x, kx, y, ky in parts]
+    return near[0].unionByName(near[1]).drop("k")
+
+
 def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of people whose names agree but for spelling and missing parts, and whose forename, gender and father don't contradict.
 
-    ``(l_id, r_id, d1, d2, prae, father)`` and the kept columns of both sides, prefixed; the closest spellings of a pair count.
+    ``(l_id, r_id, bare, d1, d2, prae, father)`` and the kept columns of both sides, prefixed, among them ``d0, d1`` of the left and ``low, high``
+    of the right; the closest spellings of a pair count.  ``bare`` is ``l`` or ``r`` if that side alone lacks a surname, else null; as the
+    nomen says little by itself, the forename, the father or the date must support such a pair, and the date must not contradict it.
     """
-    points = candidate_points(left, right)
+    points, nomina = candidate_points(left, right)
     side = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns if c != "first"])
     l, r = side(left, "l"), side(right, "r")  # noqa: E741
-    rows = l.join(points, ["l_nomen", "l_cut", "l_second"]).join(r, ["r_nomen", "r_cut", "r_second"])
+    rows = l.join(points, ["l_nomen", "l_cut", "l_second"]).join(r, ["r_nomen", "r_cut", "r_second"]).withColumn("bare", F.lit(None).cast("string"))
+    dated = date_agrees("l_d0", "l_d1", "r_low", "r_high")
+    said = lambda c: F.coalesce(c, F.lit(False))
+    supported = F.coalesce(dated, F.lit(True)) & (said(agree("l_prae", "r_prae")) | said(agree("l_father", "r_father")) | said(dated))
+    bare = _bare_rows(l, r, durable(nomina)).where(supported).withColumns({"bare": F.when(F.col("l_second") == "", "l").otherwise("r"), "d2": F.lit(0)})
     fits = F.coalesce(agree("l_prae", "r_prae"), F.lit(True)) & F.coalesce(agree("l_gender", "r_gender"), F.lit(True)) & F.coalesce(agree("l_father", "r_father"), F.lit(True))
     kept = [c for c in [*l.columns, *r.columns] if c not in ("l_id", "r_id") and c[2:] not in ("nomen", "cut", "second", "prae", "gender", "father")]
-    near = F.min(F.struct((F.col("d1") + F.col("d2")).alias("d"), "d1", "d2")).alias("d")
-    both = rows.where(fits).groupBy("l_id", "r_id").agg(near, F.max(agree("l_prae", "r_prae")).alias("prae"), F.max(agree("l_father", "r_father")).alias("father"), *[F.max(c).alias(c) for c in kept])
-    return both.select("l_id", "r_id", F.col("d.d1").alias("d1"), F.col("d.d2").alias("d2"), "prae", "father", *kept)
+    near = F.min(F.struct(F.col("bare").isNotNull().alias("lacks"), (F.col("d1") + F.col("d2")).alias("d"), "d1", "d2", "bare")).alias("d")
+    both = rows.unionByName(bare).where(fits).groupBy("l_id", "r_id").agg(near, F.max(agree("l_prae", "r_prae")).alias("prae"), F.max(agree("l_father", "r_father")).alias("father"), *[F.max(c).alias(c) for c in kept])
+    return both.select("l_id", "r_id", "d.bare", F.col("d.d1").alias("d1"), F.col("d.d2").alias("d2"), "prae", "father", *kept)

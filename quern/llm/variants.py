@@ -40,7 +40,7 @@ def link_variants(contexts: DataFrame, entities: DataFrame, most_edits: int = 3)
     years = range_years(F.col("date_range"))
     right = parsed(people, "id", {"name": "canonical_name"}, {"low": years["low"], "high": years["high"]}).withColumn("forename", F.col("prae")).distinct()
     left = left.withColumn("forename", F.col("prae"))
-    pairs = candidate_pairs(durable(left), durable(right)).where(F.col("d1") + F.col("d2") <= most_edits)
+    pairs = candidate_pairs(durable(left), durable(right)).where(F.col("bare").isNull() & (F.col("d1") + F.col("d2") <= most_edits))
     dated = pairs.withColumn("dated", date_agrees("l_d0", "l_d1", "r_low", "r_high")).where(F.coalesce("dated", F.lit(True)))
     known = F.col("l_forename").isNull() & F.col("r_forename").isNotNull()
     here = Window.partitionBy("l_id")

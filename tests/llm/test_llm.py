@@ -118,6 +118,21 @@ def test_match_people_evidence_and_empty(spark):
     assert linkage.match_people(c.limit(0), p).count() == 0 and linkage.match_people(c, p.limit(0)).count() == 0
 
 
+def test_match_people_without_surname(spark):
+    blank = (None,) * 3
+    c = [
+        (1, "Lucius Gamosevius", "Lucius", *blank, None, -220, None), (2, "Gamosevius M. f.", None, *blank, None, -220, None), (3, "Gamosevius", None, *blank, None, None, None), (4, "L. Gamosevius", "L.", *blank, None, 30, None),
+        (5, "C. Gamosevius", "C.", *blank, None, -220, None), (6, "T. Rosinagius Nemunurus", "T.", *blank, None, 10, None), (7, "Rosinagius Nemunurus", None, *blank, None, None, None), (8, "L. Gamsevius", None, *blank, None, -220, None),
+        (9, "Q. Pleminosius", "Q.", *blank, None, None, None), (10, "Q. Pleminosius", "Q.", *blank, None, 50, None),
+    ]
+    p = [
+        *PEOPLE, ("u4", "ROSI0004 T. Rosinagius", "T.", "Rosinagius", None, None, "male", None, -19, 27),
+        ("u5", "PLEM0005 Q. Pleminosius Davasorus", "Q.", "Pleminosius", "Davasorus", None, "male", None, 30, 70), ("u6", "PLEM0006 Q. Pleminosius Toplasodio", "Q.", "Pleminosius", "Toplasodio", None, "male", None, -90, -50),
+    ]
+    got = linkage.match_people(spark.createDataFrame([*c, c[0]], CONTEXT), spark.createDataFrame(p, PERSON)).where("confidence >= 0.5")
+    assert rows(got.select("context_id", "dprr_uri")) == sorted([(1, "u1"), (2, "u1"), (6, "u4"), (8, "u1"), (10, "u5")], key=repr)
+
+
 # -- 3: neighbours
 def _clusters(n=900, seed=3):
     rng = np.random.default_rng(seed)
