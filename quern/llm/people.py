@@ -140,20 +140,20 @@ def _bare_rows(l: DataFrame, r: DataFrame, nomina: DataFrame) -> DataFrame:  # n
 def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of people whose names agree but for spelling and missing parts, and whose forename, gender and father don't contradict.
 
-    ``(l_id, r_id, bare, d1, d2, prae, father)`` and the kept columns of both sides, prefixed, among them ``d0, d1`` of the left and ``low, high``
-    of the right; the closest spellings of a pair count.  ``bare`` is ``l`` or ``r`` if that side alone lacks a surname, else null; as the
-    nomen says little by itself, the forename, the father or the date must support such a pair, and the date must not contradict it.
+    ``(l_id, r_id, bare, surname, d1, d2, prae, father)`` and the kept columns of both sides, prefixed, among them ``d0, d1`` of the left and ``low, high``
+    of the right; the closest spellings of a pair count.  ``bare`` is ``l`` or ``r`` if that side alone lacks a surname, else null, and ``surname`` the other's; as the
+    nomen says little by itself, the forename, the father or the date must support such a pair.
     """
     points, nomina = candidate_points(left, right)
     side = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns if c != "first"])
     l, r = side(left, "l"), side(right, "r")  # noqa: E741
-    rows = l.join(points, ["l_nomen", "l_cut", "l_second"]).join(r, ["r_nomen", "r_cut", "r_second"]).withColumn("bare", F.lit(None).cast("string"))
+    rows = l.join(points, ["l_nomen", "l_cut", "l_second"]).join(r, ["r_nomen", "r_cut", "r_second"]).withColumns({"bare": F.lit(None).cast("string"), "surname": F.lit(None).cast("string")})
     dated = date_agrees("l_d0", "l_d1", "r_low", "r_high")
     said = lambda c: F.coalesce(c, F.lit(False))
-    supported = F.coalesce(dated, F.lit(True)) & (said(agree("l_prae", "r_prae")) | said(agree("l_father", "r_father")) | said(dated))
-    bare = _bare_rows(l, r, durable(nomina)).where(supported).withColumns({"bare": F.when(F.col("l_second") == "", "l").otherwise("r"), "d2": F.lit(0)})
+    supported = said(agree("l_prae", "r_prae")) | said(agree("l_father", "r_father")) | said(dated)
+    bare = _bare_rows(l, r, durable(nomina)).where(supported).withColumns({"bare": F.when(F.col("l_second") == "", "l").otherwise("r"), "surname": F.greatest("l_second", "r_second"), "d2": F.lit(0)})
     fits = F.coalesce(agree("l_prae", "r_prae"), F.lit(True)) & F.coalesce(agree("l_gender", "r_gender"), F.lit(True)) & F.coalesce(agree("l_father", "r_father"), F.lit(True))
     kept = [c for c in [*l.columns, *r.columns] if c not in ("l_id", "r_id") and c[2:] not in ("nomen", "cut", "second", "prae", "gender", "father")]
-    near = F.min(F.struct(F.col("bare").isNotNull().alias("lacks"), (F.col("d1") + F.col("d2")).alias("d"), "d1", "d2", "bare")).alias("d")
+    near = F.min(F.struct(F.col("bare").isNotNull().alias("lacks"), (F.col("d1") + F.col("d2")).alias("d"), "d1", "d2", "bare", "surname")).alias("d")
     both = rows.unionByName(bare).where(fits).groupBy("l_id", "r_id").agg(near, F.max(agree("l_prae", "r_prae")).alias("prae"), F.max(agree("l_father", "r_father")).alias("father"), *[F.max(c).alias(c) for c in kept])
-    return both.select("l_id", "r_id", "d.bare", F.col("d.d1").alias("d1"), F.col("d.d2").alias("d2"), "prae", "father", *kept)
+    return both.select("l_id", "r_id", "d.bare", "d.surname", F.col("d.d1").alias("d1"), F.col("d.d2").alias("d2"), "prae", "father", *kept)

@@ -307,6 +307,20 @@ def test_link_variants(spark):
 
 
 # -- 6: survivors
+def test_link_variants_without_surname(spark):
+    people = [
+        entity("r1", "Titus Trabrebimius Fotrabatus", era="-0262/-0213"), entity("r2", "T. TRABREBIMIVS Fotrabatus"), entity("r3", "Spurius Rosinagius (2)", era="-0019/00027"), entity("r4", "L. Rumerocius Difotrolio", era="122-67 BC"),
+        entity("r5", "L. Rumerocius Calidinus", era="130-70 BC"), entity("r6", "Gn. Pleminosius Davasorus"),
+    ]
+    blank = (None,) * 5
+    ctx = [
+        (1, "Titus Trabrebimius", *blank, -240, None), (2, "Sp. Rosinagius Nemunurus", *blank, 5, None), (3, "L. Rumerocius Ti. f.", *blank, -100, None), (4, "L. Rumerocius", *blank, -69, None), (5, "Trabrebimius", *blank, None, None),
+        (6, "Titus Trabrebimius", *blank, 90, None), (7, "Q. Trabrebimius", *blank, -240, None), (8, "Gn. Pleminosius", *blank, None, None),
+    ]
+    got = rows(variants.link_variants(spark.createDataFrame([*ctx, ctx[0]], CONTEXT), spark.createDataFrame(people, ENTITY)).select("context_id", "id"))
+    assert got == [(1, "r1"), (1, "r2"), (2, "r3"), (8, "r6")]
+
+
 def test_survivors(spark):
     import datetime as dt
 
