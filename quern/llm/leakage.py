@@ -20,6 +20,7 @@ from quern.runtime import ship
 #: Words in a row that make a leak, single changed words between them included.
 ROW = 20
 #: Words in a window.  A row of 20 words of which at most three are changed, none next to another, holds an unchanged window of five.
+#: Rows with more changes are found by pairs of words with one between them (see ``least_pairs``).
 WINDOW = 5
 #: Fingerprints of 64 bits in four blocks: two that differ in at most three bits agree in a block, so none within the radius is missed.
 BLOCKS, RADIUS = 4, 3
@@ -61,6 +62,20 @@ def fingerprints(h: np.ndarray) -> np.ndarray:
     return (c1 & c2) | ((c1 ^ c2) & s2)
 
 
+def pair_keys(h: np.ndarray) -> np.ndarray:
+    """A key for each word and the next but one."""
+    return h[:-2] * np.uint64(0x9E3779B97F4A7C15) + (h[2:] ^ (h[2:] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def least_pairs(row: int) -> int:
+    """How many pairs (a word and the next but one) any row of at least ``row`` words keeps, however many single words are changed.
+
+    Each of c changes spoils at most two of the row - 2 pairs, and the pair around it is whole, as no two changed words are neighbours: at
+    least max(c, row - 2 - 2c) are left.
+    """
+    return max(1, -(-(row - 2) // 3))
+
+
 @dataclass
 class Index:
     """The items of one pass: their word hashes end to end, and their windows by the value of each block."""
@@ -73,12 +88,16 @@ class Index:
     offset: np.ndarray
     order: list[np.ndarray]
     starts: list[np.ndarray]
+    pairs: np.ndarray
+    pair_item: np.ndarray
+    pair_offset: np.ndarray
 
     @classmethod
     def build(cls, items: list[tuple]) -> Index:
         """``items``: (id, words), where None marks words that don't count."""
         barrier = 0
         hashes, begins, prints, item, offset = [], [0], [], [], []
+        pairs, pair_item, pair_offset = [], [], []
         for i, (_, ws) in enumerate(items):
             h = np.fromiter((_hash(w) if w is not None else (barrier := barrier + 1) for w in ws), np.uint64, len(ws))
             f = fingerprints(h)
@@ -88,6 +107,10 @@ class Index:
             prints.append(f[keep])
             item.append(np.full(int(keep.sum()), i))
             offset.append(np.flatnonzero(keep))
+            whole = np.array([ws[j] is not None and ws[j + 2] is not None for j in range(len(ws) - 2)], bool)
+            pairs.append(pair_keys(h)[whole])
+            pair_item.append(np.full(int(whole.sum()), i))
+            pair_offset.append(np.flatnonzero(whole))
         join = lambda xs, t: np.concatenate(xs).astype(t) if xs else np.zeros(0, t)
         p = join(prints, np.uint64)
         order, starts = [], []
@@ -95,7 +118,7 @@ class Index:
             v = (p >> np.uint64(16 * b)).astype(np.uint16)
             order.append(np.argsort(v, kind="stable"))
             starts.append(np.concatenate([[0], np.cumsum(np.bincount(v, minlength=65536))]))
-        return cls(np.array([i for i, _ in items], dtype=object), join(hashes, np.uint64), np.array(begins), p, join(item, np.int64), join(offset, np.int64), order, starts)
+        return cls(np.array([i for i, _ in items], dtype=object), join(hashes, np.uint64), np.array(begins), p, join(item, np.int64), join(offset, np.int64), order, starts, (k := join(pairs, np.uint64))[o := np.argsort(k, kind="stable")], join(pair_item, np.int64)[o], join(pair_offset, np.int64)[o])
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (window, item window) whose fingerprints differ in at most RADIUS bits, some more than once."""
@@ -114,9 +137,29 @@ class Index:
         return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+    def aligned(self, h: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """``(item, shift)`` of the alignments of a document's words with an item along which at least ``least`` pairs agree."""
+        keys = pair_keys(h)
+        first = np.searchsorted(self.pairs, keys, "left")
+        count = np.searchsorted(self.pairs, keys, "right") - first
+        hit = np.flatnonzero(count)
+        if not len(hit):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        span, codes, times = len(h) + int(self.begins[-1]) + 1, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for lo in range(0, len(hit), 20_000):
+            at = hit[lo : lo + 20_000]
+            c = count[at]
+            x = np.repeat(first[at] - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(int(c.sum()))
+            code, n = np.unique(self.pair_item[x] * span + np.repeat(at, c) - self.pair_offset[x] + int(self.begins[-1]), return_counts=True)
+            codes, inverse = np.unique(np.concatenate([codes, code]), return_inverse=True)
+            times = np.bincount(inverse, np.concatenate([times, n])).astype(np.int64)
+        code = codes[times >= least]
+        return code // span, code % span - int(self.begins[-1])
+
+
 def find_rows(index: Index, docs: list[list[str]], row: int = ROW) -> list[tuple[int, int, int]]:
     """``(document, item, words)``: the longest row of the item's words that the document holds, if it has at least ``row`` words."""
-    if not len(index.prints):
+    if not len(index.pairs):
         return []
     h = [_hashes(ws) for ws in docs]
     sizes = np.array([len(x) for x in h], np.int64)
@@ -126,9 +169,11 @@ def find_rows(index: Index, docs: list[list[str]], row: int = ROW) -> list[tuple
     prints = [fingerprints(x) for x in h]
     local = np.concatenate([np.arange(len(p)) for p in prints]) if prints else np.zeros(0, np.int64)
     w, x = index.near(np.concatenate(prints) if prints else np.zeros(0, np.uint64))
-    if not len(w):
+    more = [(np.full(len(i), d), i, s) for d, ws in enumerate(h) if len(ws) >= row for i, s in [index.aligned(ws, least_pairs(row))] if len(i)]
+    seeds = np.concatenate([np.stack([owner[w], index.item[x], local[w] - index.offset[x]]), *map(np.stack, more)], axis=1)
+    if not seeds.shape[1]:
         return []
-    seeds = np.unique(np.stack([owner[w], index.item[x], local[w] - index.offset[x]]), axis=1)
+    seeds = np.unique(seeds, axis=1)
     found: dict[tuple[int, int], int] = {}
     for lo in range(0, seeds.shape[1], 20_000):
         d, i, shift = seeds[:, lo : lo + 20_000]
@@ -186,7 +231,8 @@ def leaks(documents: DataFrame, items: DataFrame, ident: str = "doc_id", item: s
 
     Every five-word window of every whole document is fingerprinted (SimHash); the items' windows, the stated query set, are sent to
     the executors in passes of bounded size, as a multi-index whose four blocks guarantee every fingerprint within three bits.
-    Each hit fixes an alignment, along which the row is then verified word by word.  Documents are never shuffled; only leaks are.
+    Rows so often changed that no window stays whole are found by pairs of words with one between them: every row keeps at least a third of
+    them on one alignment.  Each hit fixes an alignment, along which the row is then verified word by word.  Documents are never shuffled; only leaks are.
     """
     spark = documents.sparkSession
     ship(spark)

@@ -394,6 +394,17 @@ def test_leak_passes_and_block_guarantee(spark, monkeypatch):
     assert {(int(x), int(x)) for x in range(len(prints))} <= set(zip(a.tolist(), b.tolist()))
 
 
+def test_leaks_with_many_single_changes(spark):
+    w = ITEM.split()[:21]
+    change = lambda ks: "intro words " + " ".join(f"changed{i}" if i in ks else x for i, x in enumerate(w)) + " outro"
+    docs = {1: change({4, 8, 12, 16}), 2: change(range(1, 20, 2)), 3: change(range(2, 20, 3)), 4: change({4, 8, 9, 13, 17})}
+    d = spark.createDataFrame([*docs.items()], "doc_id long, text string")
+    i = spark.createDataFrame([(100, ITEM, "t", "en")], "item_id long, text string, task string, lang string")
+    assert {(r["doc_id"], r["words"]) for r in leakage.leaks(d, i).collect()} == {(1, 21), (2, 21), (3, 21)}
+    legal = [m for m in range(1 << 18) if not m & (m << 1)]
+    assert min(sum(not (m << 1) >> j & 5 for j in range(18)) for m in legal) == leakage.least_pairs(20)
+
+
 def test_majority_bits():
     h = np.array([leakage._hash(str(k)) for k in range(12)], np.uint64)
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
