@@ -12,8 +12,8 @@ from quern.llm import names
 from quern.llm.metric import RADIUS, near_cells, pivots
 from quern.runtime import durable, ship
 
-#: Least letters of a nomen cut short (shorter ones match nothing), and how many of its first ones must agree exactly.
-HEAD, EXACT = 4, 2
+#: Letters of a nomen cut short from which a slip, or a missing surname, is allowed; and the least that match anything.
+HEAD, LEAST = 4, 2
 #: Years by which a date may lie outside a range before it contradicts it.
 SLACK = 2
 
@@ -66,6 +66,20 @@ def parsed(df: DataFrame, ident: str, columns: dict[str, str], keep: dict[str, C
     return out.select("id", "prae", "gender", "father", F.explode("forms").alias("f"), *keep).select("id", "prae", "gender", "father", "f.*", *keep)
 
 
+def _heads(nomen: Column, cut: bool) -> Column:
+    """Keys of which a nomen cut short shares one with any that begins like it, a slip aside: the first two letters, or, if the slip is there,
+    the next two, which it may move by a letter."""
+    part = lambda tag, i: F.concat(F.lit(tag), F.substring(nomen, i, 2))
+    return F.explode(F.array_distinct(F.array(part("a", 1), *[part("b", i) for i in ((3,) if cut else (2, 3, 4))]))).alias("head")
+
+
+def _begin(short: Column, long: Column) -> Column:
+    """The edits between a nomen cut short and the beginning of another; null if they are too many for its length."""
+    n = F.char_length(short)
+    edits = F.least(*[F.levenshtein(short, F.substring(long, F.lit(1), n + k)) for k in (-1, 0, 1)])
+    return F.when((n >= LEAST) & (edits <= F.when(n >= HEAD, 1).otherwise(0)), edits)
+
+
 def candidate_points(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs of spellings that may mean one person: ``l_nomen, l_cut, l_second, r_nomen, r_cut, r_second, d1, d2``.
 
@@ -97,19 +111,26 @@ def candidate_points(left: DataFrame, right: DataFrame) -> tuple[DataFrame, Data
     d1 = F.when(F.col("g1") == 0, F.col("f1")).otherwise(F.levenshtein("l_first", "r_first")).alias("d1")
     whole = lw.join(rw, ["p1", "p2"]).where(reach2 & reach1 & same_blank).select("l_nomen", "l_cut", "l_second", "r_nomen", "r_cut", "r_second", d1, d2)
 
-    lh = l.withColumn("head", F.substring("l_nomen", 1, EXACT)).where(F.char_length("l_nomen") >= HEAD)
-    rh = r.withColumn("head", F.substring("r_nomen", 1, EXACT)).where(F.char_length("r_nomen") >= HEAD)
-    n = F.when(F.col("l_cut") & F.col("r_cut"), F.least(F.char_length("l_nomen"), F.char_length("r_nomen"))).when(F.col("l_cut"), F.char_length("l_nomen")).otherwise(F.char_length("r_nomen"))
-    begin = F.levenshtein(F.substring("l_nomen", F.lit(1), n), F.substring("r_nomen", F.lit(1), n))
-    begins = begin <= 1
-    one_cut = lambda x, y: x.join(y, ["head", "p2"]).where(reach2 & begins & same_blank & (F.col("l_second") != "")).select("l_nomen", "l_cut", "l_second", "r_nomen", "r_cut", "r_second", begin.alias("d1"), d2)
-    short = one_cut(lh.where("l_cut"), rh).unionByName(one_cut(lh.where("not l_cut"), rh.where("r_cut")))
+    longer = F.char_length("l_nomen") >= F.char_length("r_nomen")
+
+    def one_cut(x: DataFrame, y: DataFrame, on: list[str]) -> DataFrame:
+        """Rows of which the left nomen is cut short, and those of which the right one is, both with ``d1``; of two cut ones the shorter is."""
+        key = lambda df, c, cut: df.select("*", _heads(F.col(c), cut))
+        by_l = key(x.where("l_cut"), "l_nomen", True).join(key(y, "r_nomen", False), ["head", *on]).where(~F.col("r_cut") | ~longer).withColumn("d1", _begin(F.col("l_nomen"), F.col("r_nomen")))
+        by_r = key(x, "l_nomen", False).join(key(y.where("r_cut"), "r_nomen", True), ["head", *on]).where(~F.col("l_cut") | longer).withColumn("d1", _begin(F.col("r_nomen"), F.col("l_nomen")))
+        return by_l.unionByName(by_r).where("d1 is not null")
+
+    short = one_cut(l.where("l_second <> ''"), r.where("r_second <> ''"), ["p2"]).where(reach2).select("l_nomen", "l_cut", "l_second", "r_nomen", "r_cut", "r_second", "d1", d2).distinct()
 
     kinds = lambda df, p: df.groupBy(*[F.col(c).alias(f"{p}_{c}") for c in cols[:3]]).agg(F.max(F.col("second") == "").alias(f"{p}_bare"), F.max(F.col("second") != "").alias(f"{p}_named"))
     one_bare = F.expr("l_bare and r_named or l_named and r_bare")
-    lk = kinds(a.where("not cut"), "l").join(near1.toDF("l_first", "p1", "f1"), "l_first")
-    rk = kinds(b.where("not cut"), "r").join(own1.toDF("r_first", "p1", "g1"), "r_first")
+    la, ra = kinds(a, "l"), kinds(b, "r")
+    lk = la.where("not l_cut").join(near1.toDF("l_first", "p1", "f1"), "l_first")
+    rk = ra.where("not r_cut").join(own1.toDF("r_first", "p1", "g1"), "r_first")
     nomina = lk.join(rk, "p1").where(one_bare & reach1).select("l_nomen", "l_cut", "r_nomen", "r_cut", d1).where(F.col("d1") <= RADIUS)
+    enough = F.least(F.char_length("l_nomen"), F.char_length("r_nomen")) >= HEAD
+    begun = one_cut(la, ra, []).where(F.expr("l_bare or r_bare") & enough).select("l_nomen", "l_cut", "r_nomen", "r_cut", "d1").distinct()
+    nomina = nomina.unionByName(begun)
     return whole.unionByName(short).where((F.col("d1") <= RADIUS) & (F.col("d2") <= RADIUS)).select(*out), nomina
 
 
@@ -125,23 +146,23 @@ def date_agrees(start: str, end: str, low: str, high: str) -> Column:
 
 
 def _bare_rows(l: DataFrame, r: DataFrame, nomina: DataFrame) -> DataFrame:  # noqa: E741
-    """Rows of both sides whose nomina agree and of which only one has a surname, from ``nomina``.
+    """Rows of both sides whose nomina agree and of which only one has a surname, or neither where a nomen is cut short, from ``nomina``.
 
     The forename, which must not differ, is part of the key: it splits the rows of a large family.
     """
     some = F.array(*[F.lit(p) for p in (*names.PRAENOMINA, "")])
     asked = lambda c: F.explode(F.when(F.col(c).isNull(), some).otherwise(F.array(F.col(c), F.lit("")))).alias("k")
     own = lambda c: F.coalesce(F.col(c), F.lit("")).alias("k")
-    parts = [("l_second = ''", asked, "r_second <> ''", own), ("l_second <> ''", own, "r_second = ''", asked)]
+    parts = [("l_second = ''", asked, "true", own), ("l_second <> ''", own, "r_second = ''", asked)]
     near = [l.where(x).select("*", kx("l_prae")).join(nomina, ["l_nomen", "l_cut"]).join(r.where(y).select("*", ky("r_prae")), ["r_nomen", "r_cut", "k"]) for x, kx, y, ky in parts]
-    return near[0].unionByName(near[1]).drop("k")
+    return near[0].where("l_cut or r_cut or r_second <> ''").unionByName(near[1]).drop("k")
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of people whose names agree but for spelling and missing parts, and whose forename, gender and father don't contradict.
 
     ``(l_id, r_id, bare, surname, d1, d2, prae, father)`` and the kept columns of both sides, prefixed, among them ``d0, d1`` of the left and ``low, high``
-    of the right; the closest spellings of a pair count.  ``bare`` is ``l`` or ``r`` if that side alone lacks a surname, else null, and ``surname`` the other's; as the
+    of the right; the closest spellings of a pair count.  ``bare`` is ``l`` or ``r`` if that side alone lacks a surname (``l``, too, if both do and a nomen is cut short), else null, and ``surname`` the other's; as the
     nomen says little by itself, the forename, the father or the date must support such a pair.
     """
     points, nomina = candidate_points(left, right)

@@ -307,6 +307,14 @@ def test_link_variants(spark):
 
 
 # -- 6: survivors
+def test_nomen_cut_short(spark):
+    ctx = ["Cor. Sullaticus", "Nisen. Nebramudex", "osen. Nebramudex", "Rrosen. Nebramudex", "Rsen. Nebramudex", "Kosan. Nebramudex", "Ro. Nebramudex", "R. Nebramudex", "Cur. Sullaticus"]
+    c = [(i, n, *(None,) * 7) for i, n in enumerate(ctx)] + [(20, None, "Ser.", "Rsen.", None, None, None, 5, None), (21, None, None, "Rosen.", None, None, None, None, None)]
+    people = [("u1", "Cornelius Sullaticus", None, "Cornelius", "Sullaticus", None, "male", None, None, None), ("u2", "Ser. Rosenagius Nebramudex", "Ser.", "Rosenagius", "Nebramudex", None, "male", None, -20, 30)]
+    got = linkage.match_people(spark.createDataFrame(c, CONTEXT), spark.createDataFrame(people, PERSON)).where("confidence >= 0.5")
+    assert rows(got.select("context_id", "dprr_uri")) == sorted([(0, "u1"), (2, "u2"), (3, "u2"), (4, "u2"), (6, "u2"), (20, "u2")], key=repr)
+
+
 def test_link_variants_without_surname(spark):
     people = [
         entity("r1", "Titus Trabrebimius Fotrabatus", era="-0262/-0213"), entity("r2", "T. TRABREBIMIVS Fotrabatus"), entity("r3", "Spurius Rosinagius (2)", era="-0019/00027"), entity("r4", "L. Rumerocius Difotrolio", era="122-67 BC"),
