@@ -313,4 +313,4 @@ def sentences(documents: DataFrame, ident: str = "doc_id", text: str = "text") -
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(flat)], names=[ident, "end_pos"])
                 at = to
 
-    return documents.select(ident, text).where(f"`{ident}` is not null").mapInArrow(cut, f"`{ident}` {kind}, end_pos long")
+    return documents.select(ident, text).where(f"`{ident}` is not null").mapInArrow(cut, f"`{ident}` {kind}, end_pos long").distinct()

@@ -530,6 +530,11 @@ def test_sentences_table(spark):
     assert sorted(map(tuple, sentences.sentences(df.where("doc_id = 1")).collect())) == [(1, 6), (1, 13)]
 
 
+def test_sentences_of_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "One. Two."), (1, "One. Two."), (2, "One.")], "doc_id long, text string")
+    assert rows(sentences.sentences(df)) == [(1, 4), (1, 9), (2, 4)]
+
+
 def test_same_at_any_batch_size():
     texts = ["Dr. A. B. saw it. He left.", "x", "", "« Non ? » dit-il. Oui !"] * 7
     assert sentences.sentence_ends(texts) == [sentences.sentence_ends([t])[0] for t in texts]
