@@ -36,6 +36,13 @@ def test_top_n(spark):
     assert plan.count("WindowGroupLimit") >= 4
 
 
+def test_top_n_of_items_with_several_scores(spark):
+    many = [("g", 1, 0.9 + k / 1000) for k in range(12)] + [("g", 100 + k, 0.5) for k in range(12)] + [("h", 5, 0.4)]
+    for parts in (1, 3):
+        df = spark.createDataFrame(many, "g string, i int, s double").repartition(parts)
+        assert [(r["g"], r["i"]) for r in sorted(topn.top_n(df, "g", "s", "i").collect(), key=lambda r: (r["g"], r["rank"]))] == [("g", 1)] + [("g", 100 + k) for k in range(9)] + [("h", 5)]
+
+
 # -- 2: belief propagation
 def _exact(pairs, one_left, one_right):
     """Marginals by listing all worlds."""
