@@ -58,8 +58,10 @@ _said_ja = re.compile(r"[。！？…!?][」』”’）]+(?=と|って|とい
 _said_zh = re.compile(r"[！？!?…][”』’]+(?=然后|接着|随后|于是|之后|便|就|并|而|但|又|也|的|地)|[。！？!?…][”』’]+(?=(?:[他她它我你]们?|[一-鿿]{1,3}者)(?:说|问|道|答|喊|叫)|(?:说|问|道|答|喊|叫)[道着了：，。])")
 _double = re.compile(r'"([^"\x00]*?)"')
 _low = re.compile("([„‚])([^“”‘’„‚\x00]*)([“”‘’])")
-_single = re.compile(r"(?<![\w'.])'(?=\w)([^\x00]*?[\w.!?,;:…])(?<!\bM)'(?!\w)")
-_curly = re.compile(r"(?<![\w])‘(?=\w)([^\x00]*?)’(?!\w)")
+_pairs = (
+    (re.compile(r"(?<![\w'.])'(?=\w)"), re.compile(r"(?<=[\w.!?,;:…])(?<!\bM)'(?!\w)")),
+    (re.compile(r"(?<!\w)‘(?=\w)"), re.compile(r"’(?!\w)")),
+)
 _forenames = frozenset(FORENAMES)
 _titles = frozenset(TITLES)
 _numbered = frozenset(NUMBERED)
@@ -193,14 +195,25 @@ def _quotes(text: str, k: np.ndarray, breaks: list[int]) -> None:
         at = end
     for m in _low.finditer(text):
         pair(m.start(1), m.start(3))
-    for pattern in (_single, _curly):
-        at = 0
-        while m := pattern.search(text, at):
-            if np.searchsorted(stops, m.start()) == np.searchsorted(stops, m.end() - 1):
-                k[m.start()], k[m.end() - 1] = OPEN, CLOSE
-                at = m.end()
-            else:
-                at = m.start() + 1
+    ends = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 0)
+    for opening, closing in _pairs:  # an open mark goes with the first closing one of its paragraph; one pass over both lists
+        shut = [m.start() for m in closing.finditer(text)]
+        open_ = [m.start() for m in opening.finditer(text)]
+        if not open_ or not shut:
+            continue
+        place = lambda xs: (np.searchsorted(stops, xs), np.searchsorted(ends, xs))
+        (op, od), (sp, sd) = place(open_), place(shut)
+        at, j = 0, 0
+        for i, o in enumerate(open_):
+            if o < at:
+                continue
+            while j < len(shut) and shut[j] < o + 2:
+                j += 1
+            if j == len(shut):
+                break
+            if op[i] == sp[j] and od[i] == sd[j]:
+                k[o], k[shut[j]] = OPEN, CLOSE
+                at = shut[j] + 1
 
 
 def _lists(text: str, k: np.ndarray) -> None:
@@ -208,20 +221,29 @@ def _lists(text: str, k: np.ndarray) -> None:
 
     A number is a list mark only as 1 at the start of a paragraph or before a line with 2, or as one more than the last one.
     """
-    last = (-1, 0)
     marks = list(_list.finditer(text))
-    numbers = {m.start(): int(m[3]) for m in marks if m[3]}
-    starts = sorted(numbers)
-    for m in marks:
+    if not marks:
+        return
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    lines = [m.start() for m in marks]
+    owner = np.searchsorted(np.flatnonzero(codes == 0), lines)  # the document of each mark
+    breaks = np.searchsorted(np.flatnonzero(codes == 10), lines)  # line feeds before it
+    ahead: list[int | None] = [None] * len(marks)  # the number of the next numbered mark of the same document
+    after: tuple[int, int] | None = None
+    for i in range(len(marks) - 1, -1, -1):
+        ahead[i] = after[1] if after is not None and after[0] == owner[i] else None
+        if marks[i][3]:
+            after = (owner[i], int(marks[i][3]))
+    last: tuple[int, int] | None = None  # the last list number: its mark and value
+    for i, m in enumerate(marks):
         line = m.start()
         if m[3]:
             n = int(m[3])
-            ahead = next((numbers[s] for s in starts[np.searchsorted(starts, line, "right") :][:1] if "\x00" not in text[line:s]), None)
-            fresh = line == 0 or text[line - 1] == "\x00" or k[: line][-1:] == BREAK or text[max(0, line - 2) : line].strip(" \t") in ("\n\n", "")
-            follows = last[1] + 1 == n and "\x00" not in text[last[0] : line] and last[0] >= 0 and text.count("\n", last[0], line) <= 2
-            if not (follows or (n == 1 and (fresh or ahead == 2))) or not text[m.end() : m.end() + 1].isalpha():
+            fresh = line == 0 or text[line - 1] == "\x00" or k[line - 1] == BREAK or text[max(0, line - 2) : line].strip(" \t") in ("\n\n", "")
+            follows = last is not None and last[1] + 1 == n and owner[last[0]] == owner[i] and breaks[i] - breaks[last[0]] <= 2
+            if not (follows or (n == 1 and (fresh or ahead[i] == 2))) or not text[m.end() : m.end() + 1].isalpha():
                 continue
-            last = (line, n)
+            last = (i, n)
         k[m.start(2) : m.end(2)] = np.where(k[m.start(2) : m.end(2)] == SPACE, SPACE, IGNORE)
         if line and text[line - 1] != "\x00":
             k[line - 1] = BREAK
