@@ -10,15 +10,25 @@ from dataclasses import dataclass, field
 from fractions import Fraction
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.runtime import durable, ship
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Longer texts are tokenised in pieces that end before white space, where the tokenizer splits anyway.
+#: Longer texts are tokenised in pieces of about so many characters that end where the tokenizer's own pattern ends a match.
 PIECE = 50_000
+#: Most leaves of a target tree; its levels are categories, and more values than this are an error, never a cut.
+MOST_LEAVES = 200_000
+#: Languages that are told apart, by ISO 639 code; everything else is one class, so that free text in that column cannot grow the tree.
+LANGUAGES = ("en", "la", "de", "it", "fr", "el", "zh", "ja", "ar", "hi", "th", "es", "pt", "ru", "tr", "he")
+# Longer codes and names of these languages.
+LANGUAGE_NAMES = {
+    "eng": "en", "english": "en", "lat": "la", "latin": "la", "latina": "la", "deu": "de", "ger": "de", "german": "de", "deutsch": "de", "ita": "it", "italian": "it", "italiano": "it",
+    "fra": "fr", "fre": "fr", "french": "fr", "français": "fr", "ell": "el", "gre": "el", "grc": "el", "greek": "el", "zho": "zh", "chi": "zh", "chinese": "zh", "jpn": "ja", "japanese": "ja",
+    "ara": "ar", "arabic": "ar", "hin": "hi", "hindi": "hi", "tha": "th", "thai": "th", "spa": "es", "spanish": "es", "por": "pt", "rus": "ru", "russian": "ru", "tur": "tr", "heb": "he",
+}
 #: Slices of the hash range in which a leaf's prefix is searched; one slice of a leaf of 10**12 documents has 15 million.
 SLICES = 65_536
 
@@ -35,13 +45,33 @@ def _encoding(path: str):
     return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.cache
+def _pattern():
+    import regex
+
+    return regex.compile(PATTERN)
+
+
 def _pieces(text: str) -> Iterator[str]:
+    """The text in pieces whose tokens, taken together, are those of the whole: a cut is made only between two matches of the pattern, which
+    looks ahead no further than one character of white space."""
+    if len(text) <= PIECE:
+        yield text
+        return
     at = 0
-    while len(text) - at > PIECE:
-        cut = next((i for i in range(at + PIECE, at + PIECE // 2, -1) if text[i].isspace() and not text[i - 1].isspace()), at + PIECE)
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
+    for m in _pattern().finditer(text):
+        if m.end() - at >= PIECE:
+            yield text[at : m.end()]
+            at = m.end()
+    if at < len(text):
+        yield text[at:]
+
+
+def language(column: Column) -> Column:
+    """The code of a language however it is written (``EN``, ``en-GB``, ``eng``, ``English``); ``other`` for the rest, null for null."""
+    first = F.regexp_extract(F.lower(F.trim(column)), r"^(\p{L}+)", 1)
+    named = F.element_at(F.create_map(*[F.lit(x) for kv in LANGUAGE_NAMES.items() for x in kv]), first)
+    return F.when(column.isNotNull(), F.coalesce(F.when(first.isin(*LANGUAGES), first), named, F.lit("other")))
 
 
 def token_count(tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY):
@@ -172,8 +202,11 @@ class Mixture:
 
 
 def _tally(docs: DataFrame, levels: list[str]) -> dict[tuple, int]:
-    """Tokens by leaf: one row for each combination of the levels' values, which targets and languages bound, not documents."""
-    return {tuple(r[k] for k in levels): r["n"] for r in docs.groupBy(*levels).agg(F.sum("tokens").alias("n")).collect()}
+    """Tokens by leaf: one row for each combination of the levels' values, which are categories; more than MOST_LEAVES raise."""
+    rows = docs.groupBy(*levels).agg(F.sum("tokens").alias("n")).limit(MOST_LEAVES + 1).collect()
+    if len(rows) > MOST_LEAVES:
+        raise ValueError(f"the levels have more than {MOST_LEAVES} combinations of values")
+    return {tuple(r[k] for k in levels): r["n"] for r in rows}
 
 
 def mix(docs: DataFrame, targets: list[tuple[tuple, float, int]], levels: list[str], ident: str = "doc_id", size: int | None = None, seed: int = 7) -> Mixture:
@@ -181,7 +214,7 @@ def mix(docs: DataFrame, targets: list[tuple[tuple, float, int]], levels: list[s
 
     The mixture holds ``size`` tokens (default: as many as all documents together), or fewer if all sources together cannot fill it.
     ``report`` has one row for each first-level node: its target share, available tokens, cap on repeats, whether it stays below its
-    share even when repeated that often (``short``), the tokens chosen and the share reached.  ``selected`` has (ident, epoch) for each use
+    share even when repeated that often (``short``: what the allocation could give it is less), the tokens chosen and the share reached.  ``selected`` has (ident, epoch) for each use
     of a document: full epochs use every document of a leaf once; the last, partial epoch the documents that come first in the order of
     a hash of (seed, epoch, id), as many as fit into the remaining tokens.  The same seed gives the same choice at any parallelism.
 
@@ -232,16 +265,22 @@ def mix(docs: DataFrame, targets: list[tuple[tuple, float, int]], levels: list[s
         share = n.weight / whole
         tokens = sum(x.tokens for x in _leaves(n))
         got = reached.get(n.path[0], 0)
-        lines.append((n.path[0], float(share), tokens, n.repeats, bool(n.limit < share * total), got, got / mixed))
+        short = n.budget < share * total  # redistribution fills every source with room to its share at least
+        if short and got != n.budget:
+            raise RuntimeError(f"{n.path[0]}: {got} tokens chosen of {n.budget}, though all of it must be used")
+        lines.append((n.path[0], float(share), tokens, n.repeats, short, got, got / mixed))
     report = spark.createDataFrame(lines, "source string, target_share double, tokens long, max_repeats int, short boolean, chosen_tokens long, actual_share double")
     return Mixture(report, chosen.select(F.col("__id").alias(ident), "epoch", "tokens", F.col("__l0").alias("source")), total)
 
 
 def document_mixture(documents: DataFrame, mix_targets: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, seed: int = 7) -> Mixture:
-    """The mixture of TESTDATA's problem 8: sources weighed by ``mix_targets``, within a source languages by their tokens.
+    """The mixture of TESTDATA's problem 8: sources weighed by ``mix_targets``; within a source domains (``doc_type``), and within these
+    languages, by their tokens.  Targets exist for sources only, so sources stand at the top of the tree.
 
-    ``mix_targets`` is a configuration table of one row a source and is read on the driver.
+    ``mix_targets`` is a configuration table of one row a source and is read on the driver.  Documents of other sources count for the size.
     """
-    counted = documents.select("doc_id", "source", F.lower(F.trim("lang")).alias("lang"), token_count(tokenizers, vocabulary)("text").alias("tokens"))
     wanted = [((r["source"],), r["target_share"], int(r["max_repeats"] or 1)) for r in mix_targets.distinct().collect() if r["source"] is not None]
-    return mix(counted, wanted, ["source", "lang"], seed=seed)
+    known = [p[0] for p, _, _ in wanted]
+    source = F.when(F.col("source").isin(*known), F.col("source"))
+    counted = documents.select("doc_id", source.alias("source"), F.col("doc_type").alias("domain"), language(F.col("lang")).alias("lang"), token_count(tokenizers, vocabulary)("text").alias("tokens"))
+    return mix(counted, wanted, ["source", "domain", "lang"], seed=seed)

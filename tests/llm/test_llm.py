@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -479,6 +480,31 @@ def test_token_counts(spark):
     assert got[1] == got[2] == 0 and got[0] == len(enc.encode_ordinary(texts[0])) and got[3] == len(enc.encode_ordinary(texts[3])) and got[5] == len(enc.encode_ordinary(texts[5]))
 
 
+@pytest.mark.parametrize("unit", ["漢字かなที่นี่", "word  \n\n and\t'll 12,", "a.b-c_", " \n"])
+def test_pieces_have_the_tokens_of_the_whole(unit, monkeypatch):
+    monkeypatch.setattr(mixture, "PIECE", 97)
+    enc = mixture._encoding(f"{mixture.TOKENIZERS}/{mixture.VOCABULARY}")
+    text = unit * 60
+    pieces = list(mixture._pieces(text))
+    assert "".join(pieces) == text and [t for p in pieces for t in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
+
+
+def test_languages_and_leaves(spark, monkeypatch):
+    df = spark.createDataFrame([("EN",), ("en-GB",), ("eng",), ("Latin ",), (None,), ("xx",), ("",)], "lang string")
+    assert [r[0] for r in df.coalesce(1).select(mixture.language(F.col("lang"))).collect()] == ["en", "en", "en", "la", None, "other", "other"]
+    monkeypatch.setattr(mixture, "MOST_LEAVES", 2)
+    docs = spark.createDataFrame([(1, "a", 1), (2, "b", 1), (3, "c", 1)], "doc_id long, source string, tokens long")
+    with pytest.raises(ValueError):
+        mixture.mix(docs, [(("a",), 1.0, 1)], ["source"])
+
+
+def test_three_levels(spark):
+    docs = spark.createDataFrame([(k, ["a", "b"][k % 2], ["x", "y", None][k % 3], ["en", "de"][k % 5 % 2], k % 7) for k in range(200)], "doc_id long, source string, domain string, lang string, tokens long")
+    m = mixture.mix(docs, [(("a",), 0.9, 1), (("b",), 0.1, 1)], ["source", "domain", "lang"])
+    report = {r["source"]: r for r in m.report.collect()}
+    assert report["a"]["short"] and report["a"]["chosen_tokens"] == report["a"]["tokens"] and not report["b"]["short"]
+
+
 # -- 9: sentences
 @pytest.mark.parametrize(
     "text, parts",
@@ -542,6 +568,13 @@ def test_sentences_of_repeated_rows(spark):
     assert rows(sentences.sentences(df)) == [(1, 4), (1, 9), (2, 4)]
 
 
+@pytest.mark.parametrize("unit", ["it's 'a b ", " 'x", "\n1. a", "\n- item"])
+def test_long_texts_take_time_in_proportion(unit):
+    began = time.perf_counter()
+    sentences.sentence_ends([unit * (1_000_000 // len(unit))])
+    assert time.perf_counter() - began < 5
+
+
 def test_same_at_any_batch_size():
     texts = ["Dr. A. B. saw it. He left.", "x", "", "« Non ? » dit-il. Oui !"] * 7
     assert sentences.sentence_ends(texts) == [sentences.sentence_ends([t])[0] for t in texts]
