@@ -19,9 +19,10 @@ from quern.runtime import ship
 
 #: Words in a row that make a leak, single changed words between them included.
 ROW = 20
-#: Words in a window.  A row of 20 words of which at most three are changed, none next to another, holds an unchanged window of five.
-#: Rows with more changes are found by pairs of words with one between them (see ``least_pairs``).
-WINDOW = 5
+#: Windows have the size of the smallest passage that counts, ROW words, and their fingerprints find copies and near-copies.  A changed word
+#: moves about a tenth of a fingerprint's bits, more than any block index can guarantee and still select; rows with changed words are
+#: guaranteed by pairs of words with one between them (see ``least_pairs``), of which every legal row keeps a third on one alignment.
+CHUNK = 50_000
 #: Fingerprints of 64 bits in four blocks: two that differ in at most three bits agree in a block, so none within the radius is missed.
 BLOCKS, RADIUS = 4, 3
 #: A sentence that stands in so many different items is a stock instruction.
@@ -52,14 +53,15 @@ def _hashes(ws: list[str]) -> np.ndarray:
     return np.fromiter(map(_hash, ws), np.uint64, len(ws))
 
 
-def fingerprints(h: np.ndarray) -> np.ndarray:
-    """SimHash of each window of five word hashes: every bit is the majority of the five words' bits, found by two full adders."""
-    if len(h) < WINDOW:
-        return np.zeros(0, np.uint64)
-    a, b, c, d, e = (h[i : len(h) - WINDOW + 1 + i] for i in range(WINDOW))
-    s1, c1 = a ^ b ^ c, (a & b) | (c & (a ^ b))
-    s2, c2 = s1 ^ d ^ e, (s1 & d) | (e & (s1 ^ d))
-    return (c1 & c2) | ((c1 ^ c2) & s2)
+def fingerprints(h: np.ndarray, size: int = ROW) -> np.ndarray:
+    """SimHash of each window of ``size`` word hashes: every bit is the majority of the words' bits (a draw is 0), from running sums."""
+    out = np.zeros(max(0, len(h) - size + 1), np.uint64)
+    for lo in range(0, len(out), CHUNK):
+        part = np.ascontiguousarray(h[lo : lo + CHUNK + size - 1])
+        sums = np.zeros((len(part) + 1, 64), np.int32)
+        np.cumsum(np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1), axis=0, out=sums[1:])
+        out[lo : lo + CHUNK] = np.packbits(2 * (sums[size:] - sums[:-size]) > size, axis=1).view(np.uint64)[:, 0]
+    return out
 
 
 def pair_keys(h: np.ndarray) -> np.ndarray:
@@ -76,6 +78,16 @@ def least_pairs(row: int) -> int:
     return max(1, -(-(row - 2) // 3))
 
 
+def shingle_weights(ws: list[str | None]) -> np.ndarray:
+    """The weight of the shingle (a word and the next but one) that starts at each word: its letters, so that long words, which are rare, say
+    more; 0 where none starts.  Weights don't depend on what else is searched."""
+    n = np.array([len(w) if w is not None else 0 for w in ws], np.int64)
+    out = np.zeros(len(n), np.int64)
+    if len(n) > 2:
+        out[:-2] = np.where((n[:-2] > 0) & (n[2:] > 0), n[:-2] + n[2:], 0)
+    return out
+
+
 @dataclass
 class Index:
     """The items of one pass: their word hashes end to end, and their windows by the value of each block."""
@@ -91,6 +103,7 @@ class Index:
     pairs: np.ndarray
     pair_item: np.ndarray
     pair_offset: np.ndarray
+    weights: np.ndarray
 
     @classmethod
     def build(cls, items: list[tuple]) -> Index:
@@ -101,7 +114,8 @@ class Index:
         for i, (_, ws) in enumerate(items):
             h = np.fromiter((_hash(w) if w is not None else (barrier := barrier + 1) for w in ws), np.uint64, len(ws))
             f = fingerprints(h)
-            keep = np.array([None not in ws[j : j + WINDOW] for j in range(len(f))], bool)
+            gaps = np.concatenate([[0], np.cumsum([w is None for w in ws])]).astype(np.int64)
+            keep = gaps[ROW:] == gaps[:-ROW] if len(f) else np.zeros(0, bool)
             hashes.append(h)
             begins.append(begins[-1] + len(h))
             prints.append(f[keep])
@@ -118,7 +132,10 @@ class Index:
             v = (p >> np.uint64(16 * b)).astype(np.uint16)
             order.append(np.argsort(v, kind="stable"))
             starts.append(np.concatenate([[0], np.cumsum(np.bincount(v, minlength=65536))]))
-        return cls(np.array([i for i, _ in items], dtype=object), join(hashes, np.uint64), np.array(begins), p, join(item, np.int64), join(offset, np.int64), order, starts, (k := join(pairs, np.uint64))[o := np.argsort(k, kind="stable")], join(pair_item, np.int64)[o], join(pair_offset, np.int64)[o])
+        keys, holder = join(pairs, np.uint64), join(pair_item, np.int64)
+        o = np.argsort(keys, kind="stable")
+        weights = join([shingle_weights(ws) for _, ws in items], np.int64)
+        return cls(np.array([i for i, _ in items], dtype=object), join(hashes, np.uint64), np.array(begins), p, join(item, np.int64), join(offset, np.int64), order, starts, keys[o], holder[o], join(pair_offset, np.int64)[o], weights)
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (window, item window) whose fingerprints differ in at most RADIUS bits, some more than once."""
@@ -157,24 +174,26 @@ class Index:
         return code // span, code % span - int(self.begins[-1])
 
 
-def find_rows(index: Index, docs: list[list[str]], row: int = ROW) -> list[tuple[int, int, int]]:
-    """``(document, item, words)``: the longest row of the item's words that the document holds, if it has at least ``row`` words."""
+def find_rows(index: Index, docs: list[list[str]], row: int = ROW) -> list[tuple[int, int, int, float]]:
+    """``(document, item, words, similarity)``: the longest row of the item's words that the document holds, if it has at least ``row`` words,
+    and the weight of the item's shingles in it that agree, out of all of them."""
     if not len(index.pairs):
         return []
     h = [_hashes(ws) for ws in docs]
     sizes = np.array([len(x) for x in h], np.int64)
     begins = np.concatenate([[0], np.cumsum(sizes)])
     flat = np.concatenate(h) if h else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(docs)), np.maximum(sizes - WINDOW + 1, 0))
-    prints = [fingerprints(x) for x in h]
-    local = np.concatenate([np.arange(len(p)) for p in prints]) if prints else np.zeros(0, np.int64)
-    w, x = index.near(np.concatenate(prints) if prints else np.zeros(0, np.uint64))
+    prints = fingerprints(flat)
+    owner = np.searchsorted(begins, np.arange(len(prints)), "right") - 1
+    whole = np.flatnonzero(np.arange(len(prints)) + ROW <= begins[owner + 1])  # windows inside one document
+    w, x = index.near(prints[whole])
+    w = whole[w]
     more = [(np.full(len(i), d), i, s) for d, ws in enumerate(h) if len(ws) >= row for i, s in [index.aligned(ws, least_pairs(row))] if len(i)]
-    seeds = np.concatenate([np.stack([owner[w], index.item[x], local[w] - index.offset[x]]), *map(np.stack, more)], axis=1)
+    seeds = np.concatenate([np.stack([owner[w], index.item[x], w - begins[owner[w]] - index.offset[x]]), *map(np.stack, more)], axis=1)
     if not seeds.shape[1]:
         return []
     seeds = np.unique(seeds, axis=1)
-    found: dict[tuple[int, int], int] = {}
+    found: dict[tuple[int, int], tuple[int, float]] = {}
     for lo in range(0, seeds.shape[1], 20_000):
         d, i, shift = seeds[:, lo : lo + 20_000]
         n_item = index.begins[i + 1] - index.begins[i]
@@ -188,15 +207,20 @@ def find_rows(index: Index, docs: list[list[str]], row: int = ROW) -> list[tuple
         pos = np.arange(len(seg)) - np.repeat(np.concatenate([[0], np.cumsum(n + 2)[:-1]]), n + 2) - 1
         inner = (pos >= 0) & (pos < n[seg])
         j = a[seg] + np.clip(pos, 0, n[seg] - 1)
-        same = inner & (flat[begins[d[seg]] + j + shift[seg]] == index.hashes[index.begins[i[seg]] + j])
+        place = index.begins[i[seg]] + j
+        same = inner & (flat[begins[d[seg]] + j + shift[seg]] == index.hashes[place])
         off = ~same
         stop = off & (np.concatenate([off[1:], [True]]) | np.concatenate([[True], off[:-1]]) | ~inner)
+        weight = np.where(inner, index.weights[place], 0)
+        agree = np.where(same & np.concatenate([same[2:], [False, False]]), weight, 0)
+        total, held = (np.concatenate([[0], np.cumsum(x)]) for x in (weight, agree))
         edge = np.flatnonzero(np.diff(np.concatenate([[True], stop, [True]]).astype(np.int8)))
         for s, e in zip(edge[::2], edge[1::2]):
             if e - s >= row:
                 key = (int(d[seg[s]]), int(i[seg[s]]))
-                found[key] = max(found.get(key, 0), int(e - s))
-    return [(a, b, n) for (a, b), n in sorted(found.items())]
+                last = max(s, e - 2)  # shingles that start later leave the row
+                found[key] = max(found.get(key, (0, 0.0)), (int(e - s), float((held[last] - held[s]) / max(total[last] - total[s], 1))))
+    return [(a, b, *v) for (a, b), v in sorted(found.items())]
 
 
 def _normal_sentences(text: str | None) -> list[list[str]]:
@@ -222,17 +246,19 @@ def stock_sentences(items: DataFrame, text: str = "text", least: int = STOCK) ->
 
 
 def leaks(documents: DataFrame, items: DataFrame, ident: str = "doc_id", item: str = "item_id", text: str = "text", row: int = ROW) -> DataFrame:
-    """``(ident, item, words)``: every document that holds a row of at least ``row`` words of an item, with the longest such row.
+    """``(ident, item, words, similarity)``: every document that holds a row of at least ``row`` words of an item, with the longest such row.
 
     Words are compared without case, accents, punctuation, spacing and line breaks (hyphenation included); a single changed word
     between words that agree belongs to the row, two changed words in a row end it, and it starts and ends with words that agree.
     Stock instructions (sentences that several items share) belong to no row.  Items of fewer than ``row`` words, null and empty texts never match; repeated
-    rows count once; empty tables give an empty result; other columns are ignored.
-
-    Every five-word window of every whole document is fingerprinted (SimHash); the items' windows, the stated query set, are sent to
-    the executors in passes of bounded size, as a multi-index whose four blocks guarantee every fingerprint within three bits.
-    Rows so often changed that no window stays whole are found by pairs of words with one between them: every row keeps at least a third of
-    them on one alignment.  Each hit fixes an alignment, along which the row is then verified word by word.  Documents are never shuffled; only leaks are.
+    rows count once; empty tables give an empty result; other columns are ignored.  ``similarity`` is that of the weighted shingles (a word and
+    the next but one, by their letters) of the row: 1 for a copy, less for each changed word.
+
+    Every window of ROW words of every whole document is fingerprinted (SimHash); the items' windows, the stated query set, are sent to
+    the executors in passes of bounded size, as a multi-index whose four blocks guarantee every fingerprint within three bits: copies and
+    near-copies.  Rows with changed words, which no such radius can guarantee, are found by shingles: every row keeps at least a third of
+    its own on one alignment.  Each hit fixes an alignment, along which the row is then verified word by word and its similarity taken exactly.
+    Documents are never shuffled; only leaks are.
     """
     spark = documents.sparkSession
     ship(spark)
@@ -261,13 +287,14 @@ def leaks(documents: DataFrame, items: DataFrame, ident: str = "doc_id", item: s
                         chars += len(texts[to] or "")
                         to += 1
                     hits = find_rows(index.value, [words(t) for t in texts[at:to]], row)
-                    names = [index.value.ids[i] for _, i, _ in hits]
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([at + d for d, _, _ in hits], pa.int64())), pa.array(names).cast(_arrow(item_kind)) if names else pa.array([], _arrow(item_kind)), pa.array([n for *_, n in hits], pa.int32())], names=[ident, item, "words"])
+                    names = [index.value.ids[i] for _, i, *_ in hits]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([at + d for d, *_ in hits], pa.int64())), pa.array(names).cast(_arrow(item_kind)) if names else pa.array([], _arrow(item_kind)), pa.array([n for *_, n, _ in hits], pa.int32()), pa.array([x for *_, x in hits], pa.float64())], names=[ident, item, "words", "similarity"])
                     at = to
 
-        part = documents.select(ident, text).where(f"`{ident}` is not null and `{text}` is not null").mapInArrow(search, f"`{ident}` {kind}, `{item}` {item_kind}, words int")
+        part = documents.select(ident, text).where(f"`{ident}` is not null and `{text}` is not null").mapInArrow(search, f"`{ident}` {kind}, `{item}` {item_kind}, words int, similarity double")
         out = part if out is None else out.unionByName(part)
-    return out.groupBy(ident, item).agg(F.max("words").alias("words"))
+    best = out.groupBy(ident, item).agg(F.max(F.struct("words", "similarity")).alias("__b"))
+    return best.select(ident, item, "__b.words", "__b.similarity")
 
 
 def _arrow(kind: str) -> pa.DataType:

@@ -400,7 +400,7 @@ def test_leak_passes_and_block_guarantee(spark, monkeypatch):
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     whole = rows(leakage.leaks(d, i))
     monkeypatch.setattr(leakage, "PASS", 800)
-    assert rows(leakage.leaks(d, i)) == whole and {(a, b) for a, b, _ in whole} == {(k, k % 30) for k in range(60)}
+    assert rows(leakage.leaks(d, i)) == whole and {(a, b) for a, b, *_ in whole} == {(k, k % 30) for k in range(60)}
     index = leakage.Index.build([(k, t.split()) for k, t in items])
     prints = index.prints.copy()
     for n in range(len(prints)):
@@ -425,7 +425,26 @@ def test_majority_bits():
     h = np.array([leakage._hash(str(k)) for k in range(12)], np.uint64)
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
     want = [np.packbits((bits[k : k + 5].sum(0) >= 3).astype(np.uint8)).view(np.uint64)[0] for k in range(8)]
-    assert leakage.fingerprints(h).tolist() == [int(x) for x in want]
+    assert leakage.fingerprints(h, 5).tolist() == [int(x) for x in want]
+
+
+def test_fingerprints_of_item_sized_windows(monkeypatch):
+    h = np.array([leakage._hash(str(k)) for k in range(90)], np.uint64)
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
+    want = [int(np.packbits((bits[k : k + 20].sum(0) > 10).astype(np.uint8)).view(np.uint64)[0]) for k in range(71)]
+    monkeypatch.setattr(leakage, "CHUNK", 13)
+    assert leakage.fingerprints(h).tolist() == want and len(leakage.fingerprints(h[:19])) == 0
+
+
+@pytest.mark.parametrize("every", [2, 3, 4, 5, 6, 100])
+def test_leaks_of_changed_copies(spark, every):
+    rng = random.Random(every)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(40)]
+    text = " ".join(w if k % every or not k or k == 39 else f"new{k}" for k, w in enumerate(words))
+    d = spark.createDataFrame([(1, text), (2, " ".join(words)), (3, " ".join(words[:19]))], "doc_id long, text string")
+    i = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    got = {r["doc_id"]: (r["words"], r["similarity"]) for r in leakage.leaks(d, i).collect()}
+    assert set(got) == {1, 2} and got[2] == (40, 1.0) and got[1][0] == 40 and (got[1][1] < 1) == (every < 100)
 
 
 # -- 8: mixture
