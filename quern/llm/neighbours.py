@@ -17,8 +17,14 @@ from quern.runtime import durable, ship
 SAMPLE = 65_536
 #: Most partitions, so that the centres sent to the executors stay below 16 MB (32,768 x 128 floats).
 MOST_CELLS = 32_768
-#: Partitions searched for each vector, candidates reranked exactly in each, entries of a code book (four bits).
+#: Least partitions searched for each vector, candidates reranked exactly in each, entries of a code book (four bits).
 PROBES, RERANK, CODES = 6, 48, 16
+#: Share of the true neighbours of HELD_OUT vectors, found among all rows by brute force, that the searched partitions must hold.
+WANTED, HELD_OUT = 0.985, 256
+#: Centres are fitted in one go up to so many; more are fitted in two levels, so that the driver's work grows with the root of their number.
+FLAT = 1024
+#: Parts over which the rows of a group of copies are spread before they are joined.
+SPREAD = 8
 #: Most items and queries of a task's block: larger partitions are searched in blocks, exactly as if whole.
 ITEM_BLOCK, QUERY_BLOCK = 4096, 16_384
 #: Inner products above this share of the norms matter: the anisotropic loss weighs the parallel residual by it.
@@ -85,19 +91,71 @@ def encode(x: np.ndarray, residual: np.ndarray, book: Codebook, rounds: int = 1)
     return codes
 
 
-def fit(sample: np.ndarray, cells: int, seed: int = 11) -> Codebook:
-    """Spherical k-means for the centres, then code books by alternating score-aware encoding and weighted least squares."""
-    rng = np.random.default_rng(seed)
-    x = _unit(sample)
-    n, dims = x.shape
-    cells = max(1, min(cells, n))
-    centres = x[np.sort(rng.choice(n, cells, replace=False))].copy()
-    for _ in range(8):
+def _cluster(x: np.ndarray, cells: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
+    """Spherical k-means."""
+    centres = x[np.sort(rng.choice(len(x), cells, replace=False))].copy()
+    for _ in range(rounds):
         a = assign(x, centres, 1)[:, 0]
         sums = np.zeros_like(centres)
         np.add.at(sums, a, x)
         filled = np.bincount(a, minlength=cells) > 0
         centres[filled] = _unit(sums[filled])
+    return centres
+
+
+def _centres(x: np.ndarray, cells: int, rng: np.random.Generator) -> np.ndarray:
+    """Up to FLAT centres at once; more by clustering the rows of each of about sqrt(cells) coarse clusters, in proportion to its rows."""
+    if cells <= FLAT:
+        return _cluster(x, cells, rng)
+    coarse = assign(x, _cluster(x, round(math.sqrt(cells)), rng), 1)[:, 0]
+    groups = [np.flatnonzero(coarse == c) for c in np.unique(coarse)]
+    share = [max(1, round(cells * len(g) / len(x))) for g in groups]
+    return np.concatenate([_cluster(x[g], min(n, len(g)), rng) for g, n in zip(groups, share)])[:MOST_CELLS]
+
+
+def enough_probes(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, centres: np.ndarray, k: int) -> int:
+    """The fewest partitions a query must visit so that WANTED of its true neighbours lie in them.
+
+    The ``queries`` (a bounded sample) look for their ``k`` neighbours among all rows, exactly, in one pass; the ranks of these neighbours'
+    partitions, in each query's own order, are what has to be covered.  So the share of partitions that is searched follows from the data, not
+    from their number.
+    """
+    if len(centres) <= PROBES:
+        return len(centres)
+    q = _unit(queries)
+    sent = vectors.sparkSession.sparkContext.broadcast((ids, q, centres))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q, centres = sent.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, own = _unit(_matrix(b.column(1), q.shape[1])), b.column(0).to_numpy()
+            s = q @ x.T
+            s[ids[:, None] == own[None]] = -2
+            take = min(k, len(own))
+            top = np.argpartition(-s, take - 1, axis=1)[:, :take]
+            far = -np.take_along_axis(s, top, 1).reshape(-1)
+            cell = assign(x[top.reshape(-1)], centres, 1)[:, 0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(q), dtype=np.int32), take)), pa.array(far.astype(np.float32)), pa.array(own[top.reshape(-1)]), pa.array(cell)], names=["q", "far", "n", "cell"])
+
+    found = vectors.select("id", "vec").mapInArrow(nearest, "q int, far float, n long, cell int")
+    best = Window.partitionBy("q").orderBy("far", "n")
+    rows = found.withColumn("r", F.row_number().over(best)).where((F.col("r") <= k) & (F.col("far") < 2)).select("q", "cell").collect()  # k a query
+    if not rows:
+        return PROBES
+    at, cell = np.array([r["q"] for r in rows]), np.array([r["cell"] for r in rows])
+    score = q @ centres.T
+    rank = (score[at] > score[at, cell][:, None]).sum(1) + 1
+    return int(min(len(centres), max(PROBES, np.quantile(rank, WANTED, method="higher"))))
+
+
+def fit(sample: np.ndarray, cells: int, seed: int = 11) -> Codebook:
+    """Spherical k-means for the centres, then code books by alternating score-aware encoding and weighted least squares."""
+    rng = np.random.default_rng(seed)
+    x = _unit(sample)
+    n, dims = x.shape
+    centres = _centres(x, max(1, min(cells, n)), rng)
     part = 2 if dims % 2 == 0 else 1
     parts = dims // part
     weight = max(1.0, (dims - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
@@ -170,7 +228,7 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dims)
 
 
-def top_similar(vectors: DataFrame, ident: str = "doc_id", vec: str = "vec", k: int = 5, dims: int = 128, probes: int = PROBES) -> DataFrame:
+def top_similar(vectors: DataFrame, ident: str = "doc_id", vec: str = "vec", k: int = 5, dims: int = 128, probes: int | None = None) -> DataFrame:
     """``(id, neighbour, similarity)``: for each usable vector the ``k`` others with the largest cosine, equal ones by smaller id.
 
     A vector takes part if it has ``dims`` finite entries that are not all zero; null ids are dropped, repeated rows count once, and of
@@ -179,7 +237,7 @@ def top_similar(vectors: DataFrame, ident: str = "doc_id", vec: str = "vec", k:
     neighbours from it; within a group of copies, the smallest ids are the neighbours.
 
     Steps: centres and code books are fitted on a bounded sample; a map assigns every vector, as an item, to its partition and, as a query, to its
-    ``probes`` nearest ones; one shuffle brings them together; each task encodes its items with the score-aware (anisotropic) four-bit
+    ``probes`` nearest ones (unless given, as many as :func:`enough_probes` finds necessary); one shuffle brings them together; each task encodes its items with the score-aware (anisotropic) four-bit
     code, scans the code tables for all its queries, and reranks the best RERANK by exact cosine; a query's partial lists are merged by an aggregation. Partitions
     too large for a task are searched block by block.  The search is approximate: tests measure its recall (at least 0.9 demanded).
     """
@@ -194,15 +252,23 @@ def top_similar(vectors: DataFrame, ident: str = "doc_id", vec: str = "vec", k:
     result = "id long, neighbour long, similarity float"
     if total < 2 and not doubled:
         return spark.createDataFrame([], result)
-    reps = rows if not doubled else durable(rows.join(copies.where("copies > 1"), ["h1", "h2"], "left").where("rep is null or rep = id").select("id", "vec"))
+    part = F.pmod(F.xxhash64(F.lit(6), "id"), F.lit(SPREAD)).cast("int").alias("part")
+    several = copies.where("copies > 1").select("h1", "h2", "rep", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
+    if doubled:  # rows of copies know their representative; a group of copies is joined in SPREAD parts
+        rows = durable(rows.select("*", part).join(several.hint("merge"), ["h1", "h2", "part"], "left").select("id", "vec", F.coalesce("rep", "id").alias("rep"), F.col("rep").isNotNull().alias("copied")))
+    reps = rows.where("rep = id").select("id", "vec") if doubled else rows
     cells = int(min(MOST_CELLS, max(1, round(0.8 * math.sqrt(total)))))
     rate = max(1, total // max(1, min(SAMPLE, max(4096, 48 * cells))))
     drawn = reps.where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(rate)) == 0).select("id", "vec").orderBy(F.xxhash64(F.lit(4), "id"), "id").limit(SAMPLE).toArrow()
     if not drawn.num_rows:
         drawn = reps.select("id", "vec").orderBy("id").limit(SAMPLE).toArrow()
     drawn = drawn.sort_by("id")
-    book = spark.sparkContext.broadcast(fit(_matrix(drawn.column("vec"), dims), cells))
-    near = min(probes, book.value.centres.shape[0])
+    sample = _matrix(drawn.column("vec"), dims)
+    fitted = fit(sample, cells)
+    ids = drawn.column("id").to_numpy()
+    held_out = np.sort(np.random.default_rng(12).choice(len(ids), min(HELD_OUT, len(ids)), replace=False))
+    near = min(probes or enough_probes(reps, ids[held_out], sample[held_out], fitted.centres, k), fitted.centres.shape[0])
+    book = spark.sparkContext.broadcast(fitted)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -212,15 +278,15 @@ def top_similar(vectors: DataFrame, ident: str = "doc_id", vec: str = "vec", k:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(np.ndarray.tobytes, x)), pa.binary()), pa.array(cell.tolist(), pa.list_(pa.int32()))], names=["id", "x", "cells"])
 
     placed = durable(reps.select("id", "vec").mapInArrow(place, "id long, x binary, cells array<int>"))
-    sizes = placed.select(F.explode("cells").alias("cell"), F.col("cells")[0].alias("own")).groupBy("cell").agg(F.count(F.lit(1)).alias("q"), F.sum(F.when(F.col("cell") == F.col("own"), 1).otherwise(0)).alias("i")).collect()
-    split = {r["cell"]: (max(1, -(-r["i"] // ITEM_BLOCK)), max(1, -(-r["q"] // QUERY_BLOCK))) for r in sizes if r["i"] > ITEM_BLOCK or r["q"] > QUERY_BLOCK}
-    blocks = F.create_map(*[x for c, (i, q) in split.items() for x in (F.lit(c), F.struct(F.lit(i).alias("i"), F.lit(q).alias("q")))]) if split else None
-    nb = lambda c, f: F.coalesce(blocks[c][f], F.lit(1)) if blocks is not None else F.lit(1)
+    here, own = F.col("cell"), F.col("cells")[0]
+    blocks = lambda n, most: F.greatest(F.lit(1), F.ceil(n / most)).cast("int")
+    counted = placed.select(F.explode("cells").alias("cell"), own.alias("own")).groupBy("cell").agg(F.count(F.lit(1)).alias("q"), F.sum(F.when(here == F.col("own"), 1).otherwise(0)).alias("i"))
+    sizes = F.broadcast(counted.select("cell", blocks(F.col("i"), ITEM_BLOCK).alias("ni"), blocks(F.col("q"), QUERY_BLOCK).alias("nq")))  # at most MOST_CELLS rows
     salt = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 30)).cast("int")
-    items = placed.select("id", "x", F.lit(True).alias("item"), F.col("cells")[0].alias("cell"))
-    items = items.select("*", (salt % nb(F.col("cell"), "i")).alias("ib"), F.explode(F.sequence(F.lit(0), nb(F.col("cell"), "q") - 1)).alias("qb"))
-    asked = placed.select("id", "x", F.lit(False).alias("item"), F.explode("cells").alias("cell"))
-    asked = asked.select("*", F.explode(F.sequence(F.lit(0), nb(F.col("cell"), "i") - 1)).alias("ib"), (salt % nb(F.col("cell"), "q")).alias("qb"))
+    items = placed.select("id", "x", F.lit(True).alias("item"), own.alias("cell")).join(sizes, "cell")
+    items = items.select("id", "x", "item", "cell", (salt % F.col("ni")).alias("ib"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"))
+    asked = placed.select("id", "x", F.lit(False).alias("item"), F.explode("cells").alias("cell")).join(sizes, "cell")
+    asked = asked.select("id", "x", "item", "cell", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("ib"), (salt % F.col("nq")).alias("qb"))
 
     def search(key: tuple, group: pa.Table) -> pa.Table:
         is_item = group.column("item").to_numpy()
@@ -244,18 +310,21 @@ def top_similar(vectors: DataFrame, ident: str = "doc_id", vec: str = "vec", k:
     if not doubled:
         return merged.select("id", F.explode("found").alias("f")).select("id", F.col("f.n").alias("neighbour"), (-F.col("f.far")).cast("float").alias("similarity"))
 
-    members = rows.join(copies, ["h1", "h2"]).select("id", "rep")
-    first = members.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1)
-    few = first.groupBy("rep").agg(F.sort_array(F.collect_list("id")).alias("few"))  # at most k + 1 ids
+    # within a group of copies the nearest are its smallest ids: at most k + 1 of them matter to anyone
+    spread = Window.partitionBy("rep", "part").orderBy("id")
+    copied = rows.where("copied").select("id", "rep", part)
+    first = copied.withColumn("r", F.row_number().over(spread)).where(F.col("r") <= k + 1).groupBy("rep").agg(F.slice(F.sort_array(F.collect_list("id")), 1, k + 1).alias("few"))  # of at most SPREAD x (k + 1) ids
+    few = rows.where("not copied").select("rep", F.array("id").alias("few"), F.lit(False).alias("copied")).unionByName(first.withColumn("copied", F.lit(True)))
     others = merged.select(F.col("id").alias("rep"), F.explode("found").alias("f")).select("rep", F.col("f.far").alias("far"), F.col("f.n").alias("n"))
-    spread = others.join(few.withColumnRenamed("rep", "n"), "n").select("rep", "far", F.explode("few").alias("n"))
-    own = few.select("rep", F.lit(-1.0).cast("float").alias("far"), F.explode("few").alias("n"))
-    pool = own.unionByName(spread).groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "n"))), 1, (k + 1) * (k + 1)).alias("pool"))
-    mine = members.join(pool, "rep").select("id", F.slice(F.filter("pool", lambda f: f["n"] != F.col("id")), 1, k).alias("found"))
+    spread_out = others.join(few.withColumnRenamed("rep", "n"), "n").select("rep", "far", F.explode("few").alias("n"), F.lit(False).alias("copied"))
+    own = few.select("rep", F.lit(-1.0).cast("float").alias("far"), F.explode("few").alias("n"), "copied")
+    pool = own.unionByName(spread_out).groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "n"))), 1, (k + 1) * (k + 1)).alias("pool"), F.max("copied").alias("copied"))
+    pool = pool.select("rep", "pool", F.explode(F.sequence(F.lit(0), F.when(F.col("copied"), SPREAD - 1).otherwise(0))).alias("part"))
+    mine = rows.select("id", "rep", F.when(F.col("copied"), part).otherwise(F.lit(0)).alias("part")).join(pool.hint("merge"), ["rep", "part"]).select("id", F.slice(F.filter("pool", lambda f: f["n"] != F.col("id")), 1, k).alias("found"))
     return mine.select("id", F.explode("found").alias("f")).select("id", F.col("f.n").alias("neighbour"), (-F.col("f.far")).cast("float").alias("similarity"))
 
 
-def similar_pairs(vectors: DataFrame, ident: str = "doc_id", vec: str = "vec", k: int = 5, dims: int = 128, probes: int = PROBES) -> DataFrame:
+def similar_pairs(vectors: DataFrame, ident: str = "doc_id", vec: str = "vec", k: int = 5, dims: int = 128, probes: int | None = None) -> DataFrame:
     """``(a, b)``, a < b, once: at least one of the two is among the ``k`` most similar of the other."""
     n = top_similar(vectors, ident, vec, k, dims, probes)
     return n.select(F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b")).distinct()
