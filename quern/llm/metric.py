@@ -12,14 +12,14 @@ from quern.runtime import durable
 
 #: Every word of the indexed side lies within COVER edits of its pivot; pairs within RADIUS edits are found.
 COVER, RADIUS = 1, 2
-#: Words of more letters are compared by parts instead of deletions, whose number grows with the square of the length.
-LONG = 40
+#: Words of more letters are compared by parts instead of deletions, whose number grows with a power of the length.
+LONG = 24
 
 
 def _deletions(word: Column) -> Column:
     """The word and all words that lack one of its letters: words within one edit share one of them.  Of a long word, itself."""
     less = F.transform(F.sequence(F.lit(1), F.char_length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.char_length(word))))
-    return F.array_distinct(F.concat(F.array(word), F.when(F.char_length(word).between(1, LONG + RADIUS), less).otherwise(F.array().cast("array<string>"))))
+    return F.array_distinct(F.concat(F.array(word), F.when(F.char_length(word).between(1, LONG + RADIUS + COVER), less).otherwise(F.array().cast("array<string>"))))
 
 
 def pivots(words: DataFrame) -> DataFrame:
@@ -40,39 +40,43 @@ def pivots(words: DataFrame) -> DataFrame:
     return words.join(assigned, "word", "left").select("word", F.coalesce("pivot", "word").alias("pivot"), F.when(F.col("pivot").isNull(), 0).otherwise(COVER).cast("int").alias("gap"))
 
 
-def _segments(length: Column, word: Column, shift: Column | int = 0) -> Column:
-    """Keys of three parts of a word as if it had ``length`` letters, read ``shift`` letters further on."""
-    part = (length / (RADIUS + 1)).cast("int")
-    return F.array(*[F.concat_ws("|", length, F.lit(i), F.substring(word, part * i + 1 + shift, part if i < RADIUS else length)) for i in range(RADIUS + 1)])
+def _segments(length: Column, word: Column, edits: int, shift: Column | int = 0) -> Column:
+    """Keys of ``edits`` + 1 parts of a word as if it had ``length`` letters, read ``shift`` letters further on."""
+    part = (length / (edits + 1)).cast("int")
+    return F.array(*[F.concat_ws("|", F.lit(edits), length, F.lit(i), F.substring(word, part * i + 1 + shift, part if i < edits else length)) for i in range(edits + 1)])
 
 
-def _keys(word: Column, asked: bool) -> Column:
-    """Keys such that any two words within RADIUS edits share one: what is left after up to two deletions, for long words one of three parts.
+def _keys(word: Column, asked: bool, edits: int) -> Column:
+    """Keys such that any two words within so many edits share one: what is left after as many deletions, for long words one of the parts.
 
     ``asked`` words, compared with held ones, carry the keys of both kinds near the limit, and the parts for each length and shift.
     """
     n = F.char_length(word)
     none = F.array().cast("array<string>")
-    short = F.array_distinct(F.flatten(F.transform(_deletions(word), _deletions)))
+    short = F.array(word)
+    for _ in range(edits):
+        short = F.array_distinct(F.flatten(F.transform(short, _deletions)))
     if not asked:
-        return F.when(n <= LONG, short).otherwise(_segments(n, word))
-    lengths = F.sequence(n - RADIUS, n + RADIUS)
-    moved = F.flatten(F.transform(lengths, lambda m: F.flatten(F.transform(F.sequence(F.lit(-RADIUS), F.lit(RADIUS)), lambda k: _segments(m, word, k)))))
-    return F.concat(F.when(n <= LONG + RADIUS, short).otherwise(none), F.when(n > LONG - RADIUS, F.array_distinct(moved)).otherwise(none))
+        return F.when(n <= LONG, short).otherwise(_segments(n, word, edits))
+    lengths = F.sequence(n - edits, n + edits)
+    moved = F.flatten(F.transform(lengths, lambda m: F.flatten(F.transform(F.sequence(F.lit(-edits), F.lit(edits)), lambda k: _segments(m, word, edits, k)))))
+    return F.concat(F.when(n <= LONG + edits, short).otherwise(none), F.when(n > LONG - edits, F.array_distinct(moved)).otherwise(none))
 
 
 def near_cells(words: DataFrame, own: DataFrame) -> DataFrame:
     """``(word, pivot, far)``: the cells to which each word is copied, and its distance from their pivots.
 
-    By the triangle inequality a word within RADIUS of a word of the cell lies within RADIUS + gap of the cell's pivot; of the cells of such
-    pivots, those stay in which some word is that near.  The words within the radius are found by shared keys (an equi-join that grows with the
-    words, not with their product) and measured exactly.
+    By the triangle inequality a word within RADIUS of any word of a cell lies within RADIUS + the cell's own radius of its pivot; it is copied
+    to every cell of which that is true, and to no other.  Words are compared with pivots only, never with the words of the cells: those are
+    met and measured inside the cells.  Pivots that near are found by shared keys (an equi-join that grows with the words, not with the product
+    of words and pivots) and measured exactly.
     """
-    asked = words.select("word", F.explode(_keys(F.col("word"), True)).alias("v"))
-    held = own.select(F.col("word").alias("r"), "pivot", F.explode(_keys(F.col("word"), False)).alias("v"))
-    met = asked.join(held.hint("merge"), "v").select("word", "r", "pivot").distinct()
-    cells = met.where(F.levenshtein("word", "r", RADIUS) >= 0).select("word", "pivot").distinct()
-    return cells.select("word", "pivot", F.levenshtein("word", "pivot").alias("far"))
+    cells = durable(own.groupBy("pivot").agg(F.max("gap").alias("reach")))
+    widest = cells.agg(F.max("reach").alias("m")).first()["m"] or 0
+    asked = words.select("word", F.explode(_keys(F.col("word"), True, RADIUS + widest)).alias("v"))
+    held = cells.select("pivot", "reach", F.explode(_keys(F.col("pivot"), False, RADIUS + widest)).alias("v"))
+    met = asked.join(held.hint("merge"), "v").select("word", "pivot", "reach").distinct()
+    return met.withColumn("far", F.levenshtein("word", "pivot")).where(F.col("far") <= F.col("reach") + RADIUS).select("word", "pivot", "far")
 
 
 def radius_join(left: DataFrame, right: DataFrame, first: str, second: str) -> DataFrame:
