@@ -8,10 +8,12 @@ a recomputation of the loop, and the row count of the table is free (it is in th
 from __future__ import annotations
 
 import atexit
+import functools
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,7 +44,8 @@ def ship(spark: SparkSession | None = None) -> None:
 
 
 def session(cpus: int = 8, name: str = "quern", **conf: str) -> SparkSession:
-    """A local session with the settings the engine is tested with."""
+    """A local session with the settings the engine is tested with.  Its ``spark.checkpoint.dir`` is the folder that QUERN_CHECKPOINT_DIR names,
+    else one of its own, which local mode's only machine shares with itself."""
     base = {
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.adaptive.enabled": "true",
@@ -52,6 +55,9 @@ def session(cpus: int = 8, name: str = "quern", **conf: str) -> SparkSession:
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
     }
+    base["spark.checkpoint.dir"] = os.environ.get("QUERN_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="quern-")
+    if "QUERN_CHECKPOINT_DIR" not in os.environ:
+        atexit.register(lambda: __import__("shutil").rmtree(base["spark.checkpoint.dir"], ignore_errors=True))
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(name)
     for k, v in (base | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(k, v)
@@ -83,6 +89,22 @@ def durable(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settles(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose result is written once; the intermediate tables that it made are deleted as soon as it is."""
+
+    @functools.wraps(make)
+    def run(*args, **kwargs) -> DataFrame:
+        before = set(_written)
+        made = durable(make(*args, **kwargs))
+        result = next(reversed(_written))
+        for path in list(_written):
+            if path not in before and path != result:
+                _remove(path)
+        return made
+
+    return run
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete the files behind a table made by :func:`durable`; a no-op for any other table."""
     if df is None:
