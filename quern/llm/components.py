@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.uris import canonical_uri, json_uris, map_uris, qids
-from quern.runtime import discard, durable
+from quern.runtime import discard, durable, settles
 
 
 def _distinct_edges(a, b, df: DataFrame) -> DataFrame:
@@ -94,6 +94,7 @@ def entity_keys(entities: DataFrame) -> DataFrame:
     return entities.where("id is not null").select("id", F.explode(F.array_distinct(keys)).alias("key")).where("key is not null")
 
 
+@settles
 def entity_groups(entities: DataFrame) -> DataFrame:
     """``(group_id, id)`` for every entity record: the smallest id among the records tied to it by a URI or a QID."""
     keys = durable(entity_keys(entities))

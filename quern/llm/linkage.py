@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.people import candidate_pairs, date_agrees, parsed
-from quern.runtime import discard, durable
+from quern.runtime import discard, durable, settles
 
 #: Messages are exchanged until none moves a log-odds by more than TOLERANCE.  DAMPING keeps part of the old message, more of it from the rounds
 #: on at which loops have not come to rest; after ROUNDS the pairs that still move are marked as such.
@@ -137,6 +137,7 @@ def pair_log_odds() -> Column:
     return F.lit(PRIOR) + _edits() + said(F.col("bare").isNotNull(), BARE) + said(F.col("prae"), FORENAME) + said(F.col("father"), FATHER) + said(F.col("dated"), DATE) + said(office, OFFICE) + scored
 
 
+@settles
 def match_people(contexts: DataFrame, persons: DataFrame, scored: DataFrame | None = None) -> DataFrame:
     """``(context_id, dprr_uri, confidence, converged)``: contexts and the reference persons they may name.
 

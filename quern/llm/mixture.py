@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.runtime import durable, ship
+from quern.runtime import discard, durable, ship
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -260,6 +260,8 @@ def mix(docs: DataFrame, targets: list[tuple[tuple, float, int]], levels: list[s
 
     reached = {r["__l0"]: r["n"] for r in chosen.groupBy("__l0").agg(F.sum("tokens").alias("n")).collect()}
     mixed = sum(reached.values()) or 1
+    discard(rows)
+    discard(part)
     lines = []
     for n in first:
         share = n.weight / whole

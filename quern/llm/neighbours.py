@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.runtime import durable, ship
+from quern.runtime import durable, settles, ship
 
 #: Rows that the partition centres and the code books are fitted on; every row is indexed.
 SAMPLE = 65_536
@@ -228,6 +228,7 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dims)
 
 
+@settles
 def top_similar(vectors: DataFrame, ident: str = "doc_id", vec: str = "vec", k: int = 5, dims: int = 128, probes: int | None = None) -> DataFrame:
     """``(id, neighbour, similarity)``: for each usable vector the ``k`` others with the largest cosine, equal ones by smaller id.
 

@@ -13,10 +13,9 @@ from quern.llm.linkage import match_people
 from quern.llm.mixture import document_mixture
 from quern.llm.neighbours import similar_pairs
 from quern.llm.sentences import sentences
-from quern.llm.survivors import source_quality, survivors
+from quern.llm.survivors import retained_values, source_quality, survivors
 from quern.llm.topn import top_n
 from quern.llm.variants import link_variants
-from quern.runtime import durable
 
 #: A pair is reported as a match from this marginal probability.
 MATCH = 0.5
@@ -52,12 +51,24 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     records = _table(spark, d, "meta_entities")
-    return survivors(records, durable(entity_groups(records))).select("group_id", "field_name", "id")
+    return survivors(records, entity_groups(records)).select("group_id", "field_name", "id")
 
 
 def p6_quality(spark: SparkSession, d: str) -> DataFrame:
     records = _table(spark, d, "meta_entities")
-    return source_quality(records, durable(entity_groups(records)))
+    return source_quality(records, entity_groups(records))
+
+
+def p6_values(spark: SparkSession, d: str) -> DataFrame:
+    """Every value of a field that the quality model judges true."""
+    records = _table(spark, d, "meta_entities")
+    return retained_values(records, entity_groups(records))
+
+
+def p6_differs(spark: SparkSession, d: str) -> DataFrame:
+    """Where the stated order keeps a value that the quality model holds to be less probably true than another one."""
+    records = _table(spark, d, "meta_entities")
+    return survivors(records, entity_groups(records)).where("truth < likeliest_truth").select("group_id", "field_name", "id", "truth", "likeliest", "likeliest_truth")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +90,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found, "p2_found": p2_found, "p2_confidence": p2_confidence, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found,
-        "p6_found": p6_found, "p6_quality": p6_quality, "p7_found": p7_found, "p8_found": p8_found, "p8_shares": p8_shares, "p9_found": p9_found,
+        "p6_found": p6_found, "p6_quality": p6_quality, "p6_values": p6_values, "p6_differs": p6_differs, "p7_found": p7_found, "p8_found": p8_found, "p8_shares": p8_shares, "p9_found": p9_found,
     }
 
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.runtime import durable
+from quern.runtime import durable, settles
 
 # The origins, most trusted first; every other origin and null come last, as one source.
 TRUST = ("curated", "concordance", "derived")
@@ -121,13 +121,15 @@ def judged(fact: DataFrame, quality: Quality) -> DataFrame:
     return fact.join(F.broadcast(table), ["field_name", "said", "covers"], "left").select("group_id", "field_name", "value_key", "truth")
 
 
+@settles
 def survivors(records: DataFrame, groups: DataFrame, retain: float = 0.5) -> DataFrame:
-    """``(group_id, field_name, id, value, truth, retained)`` for each group of two or more records and each field with a real value.
+    """``(group_id, field_name, id, value, truth, retained, likeliest, likeliest_truth)`` for each group of two or more records and each field with a real value.
 
     ``id`` is the record whose value survives.  Names and ranges: the most trusted origin, then the latest ``updated_at`` (null is
     the oldest), then the smallest id.  Descriptions: the longest in characters, then the same.  ``truth`` is the quality model's
     posterior of the surviving value and ``retained`` the number of values of the field that it judges true (``truth >= retain``);
-    the values themselves are the rows of :func:`retained_values`.
+    the values themselves are the rows of :func:`retained_values`.  ``likeliest`` is the value that the model holds to be most probably true (equal
+    ones: the smaller): where it differs, the stated order, which is what decides, keeps another value than the sources' quality speaks for.
 
     Groups without any real value of a field have no row for it; null ids are dropped; empty tables give an empty result.  A group's
     winner is a partial aggregate (a minimum of a sort key), so a group with a third of all records costs one row per map task.
@@ -140,11 +142,13 @@ def survivors(records: DataFrame, groups: DataFrame, retain: float = 0.5) -> Dat
     age = -F.coalesce(F.unix_micros("updated_at"), F.lit(-(2**62)))
     best = claimed.groupBy("group_id", "field_name").agg(F.min(F.struct(longest.alias("l"), F.col("source").alias("s"), age.alias("t"), F.col("id"), F.col("value"))).alias("b"))
     won = best.select("group_id", "field_name", "b.id", "b.value", value_key(F.col("b.value")).alias("value_key")).join(several, "group_id")
-    kept = true.where(F.col("truth") >= retain).groupBy("group_id", "field_name").agg(F.count(F.lit(1)).alias("retained"))
-    out = won.join(true, ["group_id", "field_name", "value_key"]).join(kept, ["group_id", "field_name"], "left")
-    return out.select("group_id", "field_name", "id", "value", "truth", F.coalesce("retained", F.lit(0)).alias("retained"))
+    best_value = F.min(F.struct((-F.col("truth")).alias("t"), F.col("value_key").alias("v"))).alias("m")
+    kept = true.groupBy("group_id", "field_name").agg(F.sum((F.col("truth") >= retain).cast("long")).alias("retained"), best_value)
+    out = won.join(true, ["group_id", "field_name", "value_key"]).join(kept, ["group_id", "field_name"])
+    return out.select("group_id", "field_name", "id", "value", "truth", "retained", F.col("m.v").alias("likeliest"), (-F.col("m.t")).alias("likeliest_truth"))
 
 
+@settles
 def retained_values(records: DataFrame, groups: DataFrame, retain: float = 0.5) -> DataFrame:
     """``(group_id, field_name, value_key, truth)``: every value judged true, one row each; fields may keep several."""
     fact = durable(facts(claims(records, groups)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.llm.metric import RADIUS
 from quern.llm.people import candidate_pairs, date_agrees, parsed
 from quern.llm.survivors import real_name
-from quern.runtime import durable
+from quern.runtime import durable, settles
 
 _FIELDS = {"name": "name", "praenomen": "praenomen", "nomen": "nomen", "cognomen": "cognomen", "filiation": "filiation"}
 
@@ -45,6 +45,7 @@ def _one_person(pairs: DataFrame, bare: str) -> DataFrame:
     return best.where(F.col("same") & open_ & F.coalesce("agrees", F.lit(True)) & F.coalesce(F.col("rival") < F.col("best.weight"), F.lit(True))).select(*pairs.columns)
 
 
+@settles
 def link_variants(contexts: DataFrame, entities: DataFrame, most_edits: int = 3) -> DataFrame:
     """``(context_id, id, edits)``: each written name and the person records whose name means the same individual.
 

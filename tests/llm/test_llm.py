@@ -381,7 +381,9 @@ def test_survivors(spark):
     groups = spark.createDataFrame([("a", x) for x in "abcde"] + [("z", "z"), ("q1", "q1"), ("q1", "q2")], "group_id string, id string")
     got = survivors.survivors(df, groups)
     assert rows(got.select("group_id", "field_name", "id")) == [("a", "canonical_name", "d"), ("a", "date_range", "b"), ("a", "description", "c")]
-    assert all(0 <= r["truth"] <= 1 for r in got.collect())
+    assert all(0 <= r["truth"] <= r["likeliest_truth"] <= 1 and r["retained"] <= 4 for r in got.collect())
+    values = {(r["group_id"], r["field_name"], r["value_key"]) for r in survivors.retained_values(df, groups, 0.0).collect()}
+    assert {v for g, f, v in values if (g, f) == ("a", "canonical_name")} == {"b name", "c name", "d name"}
     assert survivors.survivors(df.limit(0), groups.limit(0)).count() == 0 and survivors.source_quality(df.limit(0), groups).count() == 0
 
 
