@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 
 from quern.runtime import discard, durable
@@ -11,22 +13,41 @@ def _joined(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.selectExpr("src", "dst as mid").join(b.selectExpr("src as mid", "dst"), "mid").select("src", "dst")
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def transitive_closure(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 64) -> DataFrame:
     """Distinct ``(src, dst)`` with a path of one or more edges from src to dst.
 
     Paths double in length each round (known pairs join known pairs), so a path of n edges takes log2(n) rounds; only pairs found
-    in the last round are extended, and pairs known before are dropped by an anti-join.  Null ends are dropped.
+    in the last round are extended, and pairs known before are dropped by an anti-join.  A round writes the pairs that it found, nothing else.
+    Null ends are dropped.  A closure that is not complete after ``rounds`` rounds (paths of 2 ** 64 edges) is an error.
     """
-    known = durable(edges.selectExpr(f"`{src}` as src", f"`{dst}` as dst").dropna().distinct())
-    delta = known
+    parts = [durable(edges.selectExpr(f"`{src}` as src", f"`{dst}` as dst").dropna().distinct())]
     for _ in range(rounds):
+        known, delta = _union(parts), parts[-1]
         ahead = _joined(delta, known)
-        if delta is not known:
-            ahead = ahead.unionByName(_joined(known, delta))
+        if len(parts) > 1:
+            ahead = ahead.unionByName(_joined(_union(parts[:-1]), delta))
         fresh = durable(ahead.distinct().join(known, ["src", "dst"], "left_anti"))
         if fresh.isEmpty():
+            discard(fresh)
             return known
-        merged = durable(known.unionByName(fresh))
-        discard(known)
-        known, delta = merged, fresh
-    return known
+        parts.append(fresh)
+    raise RuntimeError(f"the closure is not complete after {rounds} rounds")
+
+
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """Distinct ``(src, dst)`` for the given starts ``(src)`` only: what each of them reaches by one or more edges.
+
+    The frontier grows by one edge a round and carries nothing but pairs that were not known, so the work is that of the part of the
+    graph that can be reached, not of the whole relation.
+    """
+    edges = durable(edges.select("src", "dst").dropna().distinct())
+    first = edges.join(starts.select("src").distinct(), "src", "left_semi")
+    parts = [durable(first)]
+    while not parts[-1].isEmpty():
+        known = _union(parts)
+        parts.append(durable(_joined(parts[-1], edges).distinct().join(known, ["src", "dst"], "left_anti")))
+    return _union(parts)

@@ -12,7 +12,7 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("v").alias("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
 
 
-def cluster_links(edges: DataFrame, src: str, dst: str, rounds: int = 60) -> DataFrame:
+def cluster_links(edges: DataFrame, src: str, dst: str, rounds: int = 200) -> DataFrame:
     """``(id, cluster)`` for every linked id: the smallest id linked to it, directly or through others.
 
     Large star: each node's larger neighbours are tied to its smallest one; small star: the same for smaller neighbours and itself.  The two alternate until
@@ -34,5 +34,7 @@ def cluster_links(edges: DataFrame, src: str, dst: str, rounds: int = 60) -> Dat
         state = small
         if same:
             break
+    else:
+        raise RuntimeError(f"the components are not settled after {rounds} rounds")
     roots = state.groupBy("u").agg(F.min("v").alias("m"))
     return ids.join(roots, ids["id"] == roots["u"], "left").select("id", F.coalesce("m", "id").alias("cluster"))

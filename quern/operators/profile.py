@@ -41,7 +41,9 @@ def extract_schema(quads: DataFrame) -> DataFrame:
     """``(class, property, range, uses)``: what the instances of each class carry; the range is the commonest datatype or target class, ties by name."""
     types = quads.where((F.col("p") == TYPE) & (F.col("o_kind") == "iri")).select("s", F.col("o").alias("class")).distinct()
     target = types.select(F.col("s").alias("o"), F.col("class").alias("target"))
-    facts = quads.where(F.col("p") != TYPE).join(target, "o", "left")
+    said = quads.where(F.col("p") != TYPE)
+    literals = said.where("o_kind = 'lit'").withColumn("target", F.lit(None).cast("string"))  # they name no entity, so they join none
+    facts = literals.unionByName(said.where("o_kind <> 'lit'").join(target, "o", "left"))
     kind = F.when(F.col("o_kind") == "lit", F.coalesce("o_dt", F.lit(XSD + "string"))).otherwise(F.coalesce("target", F.lit(RDFS + "Resource")))
     uses = facts.join(types, "s").groupBy("class", F.col("p").alias("property"), kind.alias("range")).agg(F.count(F.lit(1)).alias("n"))
     best = uses.groupBy("class", "property").agg(F.min(F.struct((-F.col("n")).alias("n"), "range")).alias("b"), F.sum("n").alias("uses"))

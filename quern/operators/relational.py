@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.runtime import durable
+
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -31,9 +34,25 @@ def earliest_per_key(df: DataFrame, keys: Sequence[str], date: str, tie: str) ->
 
 
 def with_rank0(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (), name: str = "rank0") -> DataFrame:
+    """``name``: the place of each row, from 0, within its ``keys``, or in the whole table without any (see :func:`numbered`)."""
+    if not keys:
+        return numbered(df, order, name)
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
 
 
+def numbered(df: DataFrame, order: Sequence[Column], name: str = "rank0") -> DataFrame:
+    """Every row with its place, from 0, in a total order of the whole table, without a window over one partition.
+
+    The rows are sorted by ranges and written with their place inside the range; the ranges' sizes, one row each, are summed up before them.
+    """
+    placed = durable(df.orderBy(*order).withColumn("__m", F.monotonically_increasing_id()))
+    part, at = F.shiftright("__m", 33), F.col("__m").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__size"))
+    before = F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a task
+    starts = sizes.select("__part", before.alias("__before"))
+    return placed.withColumn("__part", part).join(F.broadcast(starts), "__part").withColumn(name, F.col("__before") + at).drop("__part", "__before", "__m")
+
+
 def confidence_class(score: Column | str, gap: Column | str) -> Column:
     """``strong`` from .7 with a gap of .2, ``probable`` from .5 with a gap of .1, else ``ambiguous``."""
     s, g = _c(score), _c(gap)
@@ -49,9 +68,10 @@ def rank_with_gap(df: DataFrame, keys: Sequence[str], score: str, tie: Sequence[
 
 
 def unique_pairs(df: DataFrame, left: str, right: str, name: str = "unique") -> DataFrame:
-    """Marks pairs whose two ends occur in no other pair."""
-    n = lambda c: F.count(F.lit(1)).over(Window.partitionBy(c))
-    return df.withColumn(name, (n(left) == 1) & (n(right) == 1))
+    """Marks pairs whose two ends occur in no other pair.  Ends are counted by aggregates, combined map-side, and joined back; null ends are like any."""
+    ends = lambda c, as_: df.groupBy(F.col(c).alias(f"__{as_}")).agg(F.count(F.lit(1)).alias(f"__n{as_}"))
+    out = df.join(ends(left, "l"), F.col(left).eqNullSafe(F.col("__l"))).join(ends(right, "r"), F.col(right).eqNullSafe(F.col("__r")))
+    return out.withColumn(name, (F.col("__nl") == 1) & (F.col("__nr") == 1)).select(*df.columns, name)
 
 
 def score_cutoff(df: DataFrame, keys: Sequence[str], score: str, share: float = 0.3) -> DataFrame:
@@ -124,9 +144,15 @@ def counts_in_order(df: DataFrame, column: str, order: Sequence[str]) -> DataFra
 
 
 def chunks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], text: str, size: int = 50, sep: str = ", ") -> DataFrame:
-    """Texts of each key joined in chunks of ``size``, in order; the chunk number is ``chunk``."""
-    n = df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).withColumn("chunk", F.floor(F.col("__n") / size))
-    made = n.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list(F.struct("__n", text))).alias("__x"))  # at most size entries
+    """Texts of each key joined in chunks of ``size``, in order; the chunk number is ``chunk``.
+
+    Rows are numbered in one order over all keys and counted from the first of their key, so a key with a third of all rows is no task's burden.
+    """
+    n = numbered(df, [*[F.col(k).asc() for k in keys], *order], "__at")
+    starts = n.groupBy(*keys).agg(F.min("__at").alias("__start"))
+    same = functools.reduce(lambda a, b: a & b, [n[k].eqNullSafe(starts[k]) for k in keys], F.lit(True))
+    own = n.join(starts, same).select(*[n[k] for k in keys], F.col(text), (F.col("__at") - F.col("__start")).alias("__n"))
+    made = own.withColumn("chunk", F.floor(F.col("__n") / size)).groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list(F.struct("__n", text))).alias("__x"))  # at most size entries
     return made.select(*keys, "chunk", F.array_join(F.transform("__x", lambda x: x[text]), sep).alias("text"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.stem import plain_tokens, stemmed_tokens, tokens
 from quern.operators.relational import top_k
-from quern.runtime import durable, ship
+from quern.runtime import checkpoint_dir, discard, durable, path_exists, ship
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 #: Vectors of a query set sent to the executors at once.
@@ -20,28 +21,66 @@ class TextIndex:
     """Postings ``(term, id, tf)`` and document lengths, as tables; build once, ask often."""
 
     def __init__(self, docs: DataFrame, ident: str = "id", text: str = "text", stemmed: bool = True, keep: tuple[str, ...] = ()):
-        self.stemmed = stemmed
+        self.stemmed, self.keep = stemmed, keep
         words = stemmed_tokens(F.col(text)) if stemmed else plain_tokens(F.col(text))
         base = docs.where(F.col(ident).isNotNull()).select(F.col(ident).alias("id"), *keep, words.alias("words"))
-        self.docs = durable(base.select("id", *keep, F.size("words").alias("len")))
-        self.postings = durable(base.select("id", F.explode("words").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf")).repartitionByRange("term"))
+        self._settle(durable(base.select("id", *keep, F.size("words").alias("len"))), durable(base.select("id", F.explode("words").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf")).repartitionByRange("term")))
+
+    def _settle(self, docs: DataFrame, postings: DataFrame) -> None:
+        self.docs, self.postings = docs, postings
         row = self.docs.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg")).first()
         self.n, self.average = row["n"] or 0, row["avg"] or 0.0
 
+    @classmethod
+    def stored(cls, docs: DataFrame, ident: str = "id", text: str = "text", stemmed: bool = True, keep: tuple[str, ...] = ()) -> TextIndex:
+        """The index of these documents, built only if none was stored under their fingerprint in the shared folder.
+
+        The fingerprint covers every row that is indexed (ids, texts, kept columns) and the way it is; reading it is one pass without a shuffle.
+        """
+        cols = [ident, text, *keep]
+        row = docs.select(F.xxhash64(*cols).alias("h"), F.hash(*cols).cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("x"), F.sum("k").alias("s")).first()
+        key = hashlib.md5(f"{cols}|{stemmed}|{row['n']}|{row['x']}|{row['s']}".encode()).hexdigest()
+        spark = docs.sparkSession
+        root = f"{checkpoint_dir(spark)}/quern-index/{key}"
+        if not path_exists(spark, f"{root}/done"):
+            made = cls(docs, ident, text, stemmed, keep)
+            made.docs.write.mode("overwrite").parquet(f"{root}/docs")
+            made.postings.write.mode("overwrite").parquet(f"{root}/postings")
+            spark.range(1).write.mode("overwrite").parquet(f"{root}/done")  # written last: a half-written index is never read
+            discard(made.docs)
+            discard(made.postings)
+        out = cls.__new__(cls)
+        out.stemmed, out.keep = stemmed, keep
+        out._settle(spark.read.parquet(f"{root}/docs"), spark.read.parquet(f"{root}/postings"))
+        return out
+
+    def without(self, where: Column) -> TextIndex:
+        """The index without the documents that a condition on the kept columns picks (one dataset's, say); its statistics follow."""
+        out = type(self).__new__(type(self))
+        out.stemmed, out.keep = self.stemmed, self.keep
+        gone = self.docs.where(where).select("id")
+        docs = durable(self.docs.where(~F.coalesce(where, F.lit(False))))
+        out._settle(docs, durable(self.postings.join(gone, "id", "left_anti").repartitionByRange("term")))
+        return out
+
     def terms(self, query: str) -> list[str]:
         """The query's terms, each to be matched as a prefix; stemmed like the index."""
         out = [t for w in query.split() for t in (tokens(w) if self.stemmed else w.lower().split())]
         return list(dict.fromkeys(out))
 
     def search(self, query: str, k: int = 10, every: bool = False, where: Column | None = None) -> DataFrame:
-        """``(id, score)``: the best ``k`` by BM25, equal scores by smaller id; ``every`` demands all terms.
+        """``(id, score)``: the best ``k`` by BM25, equal scores by smaller id; ``every`` demands all terms."""
+        return self.scores(query, every, where).select("id", "score").orderBy(F.col("score").desc(), "id").limit(k)
+
+    def scores(self, query: str, every: bool = False, where: Column | None = None) -> DataFrame:
+        """``(id, score)`` and the kept columns of every document that has a term of the query.
 
         ``where`` filters documents before the cut; the statistics are those of the whole corpus.  A query without terms finds nothing.
         The postings are stored by term range, so the prefix filters prune files.
         """
         terms = self.terms(query)
         if not terms or not self.n:
-            return self.docs.select("id", F.lit(0.0).alias("score")).limit(0)
+            return self.docs.select("id", F.lit(0.0).alias("score"), *self.keep).limit(0)
         hits = None
         for i, t in enumerate(terms):
             part = self.postings.where(F.col("term").startswith(t)).groupBy("id").agg(F.sum("tf").alias("tf")).withColumn("q", F.lit(i))
@@ -52,10 +91,10 @@ class TextIndex:
         if where is not None:
             found = found.where(where)
         part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / self.average))
-        scored = found.groupBy("id").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("terms"))
+        scored = found.groupBy("id").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("terms"), *[F.first(c).alias(c) for c in self.keep])
         if every:
             scored = scored.where(F.col("terms") == len(terms))
-        return scored.select("id", "score").orderBy(F.col("score").desc(), "id").limit(k)
+        return scored.select("id", "score", *self.keep)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -186,7 +225,7 @@ def search_entities(index: TextIndex, entities: DataFrame, query: str, per_datas
     entities whose name holds the query that no hit named."""
     from quern.operators.relational import append_unseen, score_cutoff
 
-    found = index.search(query, 10_000, every=len(query.split()) > 1).join(index.docs.select("id", "dataset"), "id")
+    found = index.scores(query, every=len(query.split()) > 1)  # ranked within each dataset: none is hidden by another one's hits
     cut = score_cutoff(top_k(found, ["dataset"], [F.col("score").desc(), F.col("id").asc()], per_dataset), ["dataset"], "score", share)
     named = entities.where(F.contains(F.lower("name"), F.lit(query.lower()))).select("dataset", "id", F.lit(0.0).alias("score"))
     return append_unseen(cut.select("dataset", "id", "score"), named, ["id"])

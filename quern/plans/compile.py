@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.closure import transitive_closure
+from quern.operators.closure import reachable, transitive_closure
 from quern.plans import syntax as S
 from quern.plans.expressions import compile_expr
 from quern.plans.terms import Expr, Slot, compare, conjunction, constant, order_keys, put, same_term
@@ -16,6 +16,8 @@ from quern.sources.graphs import DEFAULT, Solution, align, union
 
 #: VALUES with at most so many rows of one variable become an IN filter where they can.
 SMALL = 64
+#: Of two patterns without a shared variable, one may have at most so many solutions.
+PRODUCT = 100_000
 
 
 @dataclass
@@ -24,6 +26,7 @@ class Compiler:
 
     source: object
     hidden: int = 0
+    products: bool = False
 
     @property
     def spark(self):
@@ -58,7 +61,38 @@ class Compiler:
             tests.append(same)
         return conjunction(tests)
 
+    def _product(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        """All pairs of two patterns without a shared variable: the smaller side is counted up to PRODUCT and sent to every task; two larger ones
+        are refused, unless ``products`` asks for them."""
+        for small, large, left in ((b, a, True), (a, b, False)):
+            if small.limit(PRODUCT + 1).count() <= PRODUCT:
+                return large.crossJoin(F.broadcast(small)) if left else F.broadcast(small).crossJoin(large)
+        if not self.products:
+            raise S.SparqlError(f"two patterns without a shared variable have more than {PRODUCT} solutions each")
+        return a.crossJoin(b)
+
+    def _split_join(self, a: Solution, b: Solution, name: str) -> Solution:
+        """The join on a variable that may be unbound: bound values meet by an equi-join; rows without a value, which fit any, by what else is shared."""
+        def bound(s: Solution, yes: bool) -> Solution:
+            first = F.col(f"`{s.slots[name].columns[0]}`")
+            if yes:
+                return Solution(s.df.where(first.isNotNull()), {**s.slots, name: replace(s.slots[name], maybe=False)})
+            rest = {n: x for n, x in s.slots.items() if n != name}
+            return Solution(s.df.where(first.isNull()).select(*[F.col(f"`{c}`") for x in rest.values() for c in x.columns] or [F.lit(1).alias("__one")]), rest)
+
+        x, y = a.slots[name].maybe, b.slots[name].maybe
+        parts = [self.join(bound(a, True), bound(b, True))]
+        if x:
+            parts.append(self.join(bound(a, False), b))
+        if y:
+            parts.append(self.join(bound(a, True), bound(b, False)))
+        return functools.reduce(union, parts)
+
     def join(self, a: Solution, b: Solution, how: str = "inner", on: Column | None = None) -> Solution:
+        common = [n for n in a.slots if n in b.slots]
+        loose = [n for n in common if a.slots[n].maybe or b.slots[n].maybe]
+        if how == "inner" and on is None and loose and len(loose) == len(common):
+            return self._split_join(a, b, loose[0])
         right, shared, pairs = self._sides(a, b)
         test = self._condition(a, b, pairs)
         if on is not None:
@@ -66,7 +100,7 @@ class Compiler:
         if shared or on is not None or how == "left":
             df = a.df.join(right, test, how)
         else:
-            df = a.df.crossJoin(right)
+            df = self._product(a.df, right)
         slots, cols = {}, []
         for n, slot in a.slots.items():
             if n in shared and slot.maybe:
@@ -136,13 +170,21 @@ class Compiler:
             step = self.bgp([S.Triple(a, t.p.args[0], b)], graph)
             term = lambda n: F.struct(*[c.alias(x) for c, x in zip((step.slots[n].expr().general().col, step.slots[n].expr().general().k, step.slots[n].expr().general().d, step.slots[n].expr().general().l), ("v", "k", "d", "l"))])
             edges = step.df.select(term("__a").alias("src"), term("__b").alias("dst")).distinct()
-            reached = edges if kind == "opt" else transitive_closure(edges)
+            fixed = lambda end: None if isinstance(end, S.Var) else self._constant_term(end)
+            if kind == "opt":
+                reached = edges
+            elif (start := fixed(t.s)) is not None:  # a bound end: only what it reaches, or what reaches it
+                reached = reachable(edges, start)
+            elif (start := fixed(t.o)) is not None:
+                turned = reachable(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), start)
+                reached = turned.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+            else:
+                reached = transitive_closure(edges)
             if kind in ("star", "opt"):
                 every = edges.select("src").unionByName(edges.select(F.col("dst").alias("src"))).distinct()
                 for end in (t.s, t.o):  # a named end reaches itself even if no edge touches it
                     if not isinstance(end, S.Var):
-                        g = constant(end).general()
-                        every = every.unionByName(self.spark.range(1).select(F.struct(g.col.cast("string").alias("v"), g.k.cast("string").alias("k"), g.d.cast("string").alias("d"), g.l.cast("string").alias("l")).alias("src"))).distinct()
+                        every = every.unionByName(self._constant_term(end)).distinct()
                 reached = reached.unionByName(every.select("src", F.col("src").alias("dst"))).distinct()
             cols, slots = [], {}
             for n, c in (("__a", "src"), ("__b", "dst")):
@@ -151,6 +193,10 @@ class Compiler:
             pairs = Solution(reached.select(*cols), slots)
         return self._ends(pairs, t)
 
+    def _constant_term(self, end: object) -> DataFrame:
+        g = constant(end).general()
+        return self.spark.range(1).select(F.struct(g.col.cast("string").alias("v"), g.k.cast("string").alias("k"), g.d.cast("string").alias("d"), g.l.cast("string").alias("l")).alias("src"))
+
     def _ends(self, pairs: Solution, t: S.Triple) -> Solution:
         """The pairs' ends named as, or compared with, the pattern's subject and object."""
         tests, cols, slots = [], [], {}
@@ -297,9 +343,16 @@ class Compiler:
 
     def _mark(self, s: Solution, e: S.Exists, graph: object, name: str) -> Solution:
         """The solutions with a flag column: EXISTS inside an OR or another expression."""
-        numbered = Solution(s.df.withColumn("__row", F.monotonically_increasing_id()), s.slots)
-        hit = self._exists(numbered, S.Exists(e.group, False), graph).df.select("__row").withColumn(name, F.lit(True))
-        df = numbered.df.join(hit, "__row", "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)) != F.lit(e.negated)).drop("__row")
+        inside = S.variables(e.group)
+        slots = {n: x for n, x in s.slots.items() if n in inside}
+        columns = [c for x in slots.values() for c in x.columns]
+        if not columns:
+            found = not self.group(e.group, graph).df.isEmpty()
+            return Solution(s.df.withColumn(name, F.lit(found != e.negated)), s.slots)
+        asked = Solution(s.df.select(*[F.col(f"`{c}`") for c in columns]).distinct(), slots)  # the answer depends on these bindings alone
+        hit = self._exists(asked, S.Exists(e.group, False), graph).df.select(*[F.col(f"`{c}`").alias(f"__h_{c}") for c in columns]).withColumn(name, F.lit(True))
+        same = conjunction([F.col(f"`{c}`").eqNullSafe(F.col(f"`__h_{c}`")) for c in columns])
+        df = s.df.join(hit, same, "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)) != F.lit(e.negated)).drop(*[f"__h_{c}" for c in columns])
         return Solution(df, s.slots)
 
     # -- solution modifiers

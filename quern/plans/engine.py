@@ -18,6 +18,7 @@ class Graph:
 
     source: object
     prefixes: dict[str, str] = field(default_factory=dict)
+    products: bool = False  # whether patterns without a shared variable may both be large
 
     def tree(self, text: str) -> Select:
         return parse(repair_prefixes(text, self.prefixes), dict(self.prefixes))
@@ -26,7 +27,7 @@ class Graph:
         tree = self.tree(text)
         if tree.form != "SELECT":
             raise SparqlError("only SELECT queries are run here, not ASK")
-        return Compiler(self.source).select(tree)
+        return Compiler(self.source, products=self.products).select(tree)
 
     def query(self, text: str) -> DataFrame:
         """Typed result: numbers, strings and times in their own types; IRIs and mixed terms as text."""
@@ -36,7 +37,7 @@ class Graph:
     def lexical(self, text: str, compress: bool = True) -> DataFrame:
         """Every value as its text, IRIs shortened by the query's and the graph's prefixes; unbound is null."""
         tree = self.tree(text)
-        s = Compiler(self.source).select(tree)
+        s = Compiler(self.source, products=self.products).select(tree)
         prefixes = self.prefixes | tree.prefixes
         show = lambda e: compress_iri(e.lex(), prefixes) if compress else e.lex()
         return s.df.select(*[show(s.slots[n].expr()).alias(n) for n in s.slots])
@@ -44,7 +45,7 @@ class Graph:
     def ask(self, text: str) -> bool:
         """Whether the pattern has a solution; for probes, not an entry point of users."""
         tree = parse(repair_prefixes(text, self.prefixes), dict(self.prefixes))
-        return not Compiler(self.source).group(tree.where).df.isEmpty()
+        return not Compiler(self.source, products=self.products).group(tree.where).df.isEmpty()
 
     def explain(self, text: str) -> None:
         self.query(text).explain("formatted")

@@ -133,5 +133,10 @@ def _clean() -> None:
         _remove(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def default_parallelism(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism)

@@ -167,17 +167,18 @@ def test_signals(spark):
     assert g(["a"], "a") == (1.0, False) and g(["a"], "b") == (0.0, False) and g([], "b")[1] and g(["a"], None)[1] and g([], "b", True, True) == (0.3, False)
 
 
-def test_golden_family(spark):
-    persons = spark.createDataFrame([("p1", "Manius I", "Aquillius", -185, -129), ("p2", "Manius II", "Aquillius", -155, -101), ("p3", "Manius III", "Aquillius", -115, -60)], "person string, label string, nomen string, era_from int, era_to int")
-    posts = spark.createDataFrame([("p1", "consul", -129), ("p2", "consul", -101), ("p3", "quaestor", -70)], "person string, office string, date_start int")
-    people = spark.createDataFrame([("p1", "M'."), ("p2", "M'."), ("p3", "M'.")], "person string, praenomen string")
-    parents = spark.createDataFrame([("p3", "p2"), ("p2", "p1")], "child string, parent string")
+def test_family_of_one_forename(spark):
+    """Three generations share forename and nomen; only era and office tell them apart."""
+    persons = spark.createDataFrame([("v1", "Spurius the elder", "Vardonius", -246, -183), ("v2", "Spurius the son", "Vardonius", -214, -158), ("v3", "Spurius the grandson", "Vardonius", -171, -117)], "person string, label string, nomen string, era_from int, era_to int")
+    posts = spark.createDataFrame([("v1", "praetor", -201), ("v2", "consul", -166), ("v3", "tribunus plebis", -128)], "person string, office string, date_start int")
+    people = spark.createDataFrame([("v1", "Sp."), ("v2", "Sp."), ("v3", "Sp.")], "person string, praenomen string")
+    parents = spark.createDataFrame([("v3", "v2"), ("v2", "v1")], "child string, parent string")
     family = E.family_forenames(people, parents)
-    assert rows(family) == [("p2", "manius", None), ("p3", "manius", "manius")]
-    ctx = spark.createDataFrame([(1, "aquillius", "M'. f. M'. n.", "q.", -70, None, None)], "context_id int, nomen string, filiation string, office string, date_start int, date_end int, findspot string")
+    assert rows(family) == [("v2", "spurius", None), ("v3", "spurius", "spurius")]
+    ctx = spark.createDataFrame([(1, "vardonius", "Sp. f. Sp. n.", "tr. pl.", -128, None, None)], "context_id int, nomen string, filiation string, office string, date_start int, date_end int, findspot string")
     none = spark.createDataFrame([], "person string, place string")
     got = E.disambiguate(ctx, persons, posts, family, none).orderBy("rank").collect()
-    assert [r["person"] for r in got][0] == "p3" and len(got) == 3 and got[0]["signals"]["filiation"]["score"] == 1.0 and got[0]["signals"]["career"]["score"] >= 0.7
+    assert [r["person"] for r in got][0] == "v3" and len(got) == 3 and got[0]["signals"]["filiation"]["score"] == 1.0 and got[0]["signals"]["career"]["score"] >= 0.7
 
 
 def test_name_matching(spark):
