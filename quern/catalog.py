@@ -682,9 +682,16 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
     return sessionized(table(spark, d, "events"), "6 hours", at="ts", key="user_id").select("user_id", "start", "n")
 
 
+def _everything() -> None:
+    """The other modules of the catalogue add theirs when they are imported."""
+    from quern import catalog_graph  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _everything()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _everything()
     return dict(_sql)

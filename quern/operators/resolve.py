@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.onomastics import normalize_office, normalize_praenomen, parse_filiation
+from quern.functions.onomastics import is_greek, normalize_office, normalize_praenomen, parse_filiation, parse_office, parse_roman_name, transliterate
+from quern.functions.text import attestation_to_inscription, era_label
 from quern.operators.relational import era_distance, rank_with_gap, weighted_score
 
 # Weights of the signals, and least ages for offices.
@@ -155,3 +156,53 @@ def disambiguate_by_date(pairs: DataFrame, key: str, target: str, at: str, low:
     clear = F.when(F.col("second").isNull(), F.col("distance") <= lone).otherwise((F.col("distance") <= most) & (F.col("second") - F.col("distance") >= margin))
     picked = best.where(clear)
     return picked.withColumn("__t", F.count(F.lit(1)).over(Window.partitionBy(target))).where("__t = 1").drop("__t")
+
+
+CONTEXT = ("context_id", "name", "normalized_name", "praenomen", "nomen", "cognomen", "filiation", "office", "date_start", "date_end", "findspot")
+
+
+def context_from_fields(rows: DataFrame) -> DataFrame:
+    """Contexts from typed fields ``(context_id, name, filiation, office, date, province)``: the name in Latin spelling and taken apart, the office by
+    its usual name, one date as both ends."""
+    latin = F.when(is_greek(F.col("name")), transliterate(F.col("name"))).otherwise(F.col("name"))
+    named = rows.withColumn("normalized_name", latin).withColumn("__p", parse_roman_name(F.col("normalized_name")))
+    return named.select(
+        "context_id", "name", "normalized_name", "__p.praenomen", "__p.nomen", "__p.cognomen", "filiation", normalize_office(F.col("office")).alias("office"),
+        F.col("date").alias("date_start"), F.col("date").alias("date_end"), F.col("province").alias("findspot"),
+    )
+
+
+def context_from_inscriptions(persons: DataFrame, inscriptions: DataFrame) -> DataFrame:
+    """Contexts of people named on inscriptions: ``persons(context_id, name, attestation)``, ``inscriptions(inscription, text, start, end, findspot)``.
+
+    An attestation's URI without its number is its inscription's; the text tells filiation and office; dates that are no numbers are missing; of several
+    attestations, or editions, of one person the smallest counts.  All look-ups are joins, for any number of people at once.
+    """
+    first = persons.groupBy("context_id").agg(F.min(F.struct("name", "attestation")).alias("a")).select("context_id", "a.name", attestation_to_inscription(F.col("a.attestation")).alias("inscription"))
+    edition = inscriptions.groupBy("inscription").agg(F.min(F.struct("text", "start", "end", "findspot")).alias("e")).select("inscription", "e.*")
+    joined = first.join(edition, "inscription", "left")
+    latin = F.when(is_greek(F.col("name")), transliterate(F.col("name"))).otherwise(F.col("name"))
+    named = joined.withColumn("normalized_name", latin).withColumn("__p", parse_roman_name(F.col("normalized_name")))
+    year = lambda c: F.col(c).cast("string").try_cast("int")
+    return named.select(
+        "context_id", "name", "normalized_name", "__p.praenomen", "__p.nomen", "__p.cognomen", F.col("text").alias("filiation"), parse_office(F.col("text")).alias("office"),
+        year("start").alias("date_start"), year("end").alias("date_end"), "findspot",
+    )
+
+
+def provinces_served(persons: DataFrame, links: DataFrame, gazetteer: str = "pleiades.stoa.org") -> DataFrame:
+    """``(person, place)``: the places of the gazetteer that the provinces of ``persons(person, province)`` are linked to."""
+    places = links.where(F.contains("target", F.lit(gazetteer))).select(F.col("source").alias("province"), F.col("target").alias("place")).distinct()
+    return persons.select("person", "province").dropna().distinct().join(places, "province").select("person", "place").distinct()
+
+
+def person_text(label: Column, offices: Column, start: Column, end: Column, most: int = 5) -> Column:
+    """What a person is compared by: label, up to ``most`` offices (distinct, sorted), era."""
+    held = F.slice(F.array_sort(F.array_distinct(F.filter(offices, lambda o: o.isNotNull()))), 1, most)
+    return F.concat_ws(". ", label, F.when(F.size(held) > 0, F.array_join(held, ", ")), era_label(start, end))
+
+
+def flag_matches(matches: DataFrame, known: DataFrame) -> DataFrame:
+    """``matches(left_id, right_id, left_nomen, right_nomen, ...)`` that are not among ``known(left_id, right_id)``, with ``new``: whether the nomina differ."""
+    rest = matches.join(known.select("left_id", "right_id").distinct(), ["left_id", "right_id"], "left_anti")
+    return rest.withColumn("new", ~F.lower("left_nomen").eqNullSafe(F.lower("right_nomen")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 
@@ -229,3 +230,41 @@ def search_entities(index: TextIndex, entities: DataFrame, query: str, per_datas
     cut = score_cutoff(top_k(found, ["dataset"], [F.col("score").desc(), F.col("id").asc()], per_dataset), ["dataset"], "score", share)
     named = entities.where(F.contains(F.lower("name"), F.lit(query.lower()))).select("dataset", "id", F.lit(0.0).alias("score"))
     return append_unseen(cut.select("dataset", "id", "score"), named, ["id"])
+
+
+def embed_text(text: Column, dims: int = 384, n: int = 3) -> Column:
+    """A unit vector of a text without any model: its character n-grams hashed into ``dims`` signed counts.  Null and empty texts give zeros.
+
+    It stands where a model's function would, in Arrow batches; any function from a text column to an ``array<float>`` column may be used instead.
+    """
+    import re
+    import zlib
+
+    import numpy as np
+    import pandas as pd
+
+    @F.pandas_udf("array<float>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            v = np.zeros(dims, np.float32)
+            bare = f" {re.sub(r'\W+', ' ', (t or '').lower()).strip()} "
+            if bare.strip():
+                h = np.array([zlib.crc32(bare[i : i + n].encode()) for i in range(max(1, len(bare) - n + 1))], np.int64)
+                np.add.at(v, h % dims, np.where(h >> 16 & 1, 1.0, -1.0).astype(np.float32))
+                v /= max(float(np.linalg.norm(v)), 1e-12)
+            out.append(v.tolist())
+        return pd.Series(out)
+
+    return vectors(text)
+
+
+def discover(index: TextIndex, catalog: DataFrame, topic: str, k: int = 10, vectors: DataFrame | None = None, query_vector: list[float] | None = None) -> DataFrame:
+    """The rows of ``catalog(dataset, description, ...)`` that a topic concerns: the datasets of the ``k`` best hits; if there is no hit, those whose
+    description holds any of its words.  The index keeps ``dataset``."""
+    hits = hybrid(index, vectors, topic, query_vector, k)
+    found = hits.join(index.docs.select("id", "dataset"), "id").select("dataset").distinct()
+    if not found.isEmpty():
+        return catalog.join(found, "dataset", "left_semi")
+    words = topic.lower().split()
+    return catalog.where(F.lit(False) if not words else functools.reduce(lambda a, b: a | b, [F.contains(F.lower("description"), F.lit(w)) for w in words]))

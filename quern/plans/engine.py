@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.plans.compile import Compiler
-from quern.plans.syntax import Select, SparqlError, parse, repair_prefixes
-from quern.sources.graphs import Solution
+from quern.operators.relational import numbered
+from quern.plans.syntax import Select, SparqlError, Triple, Var, parse, repair_prefixes
+from quern.plans.terms import constant
+from quern.sources.graphs import QUADS, Solution
 
 
 @dataclass
@@ -47,10 +50,53 @@ class Graph:
         tree = parse(repair_prefixes(text, self.prefixes), dict(self.prefixes))
         return not Compiler(self.source, products=self.products).group(tree.where).df.isEmpty()
 
+    def construct(self, text: str) -> DataFrame:
+        """The triples of a CONSTRUCT query, as quads of the default graph: its template filled with every solution; a triple with an unbound part, or
+        a literal where none may stand, is left out.  For extracts between stores; users' queries are SELECT."""
+        m = re.search(r"(?is)\bCONSTRUCT\s*\{(.*?)\}\s*(WHERE\b.*)$", text)
+        if not m:
+            raise SparqlError("CONSTRUCT { template } WHERE { pattern } expected")
+        head = text[: m.start()]
+        template = _walk_triples(self.tree(f"{head} SELECT * WHERE {{ {m[1]} }}"))
+        s = self.solve(f"{head} SELECT * {m[2]}")
+        cells = []
+        for t in template:
+            a, p, o = ((s.slots[x.name].expr() if x.name in s.slots else None) if isinstance(x, Var) else constant(x) for x in (t.s, t.p, t.o))
+            if a is None or p is None or o is None:
+                continue
+            a, o = a.general(), o.general()
+            ok = a.col.isNotNull() & (a.k != "lit") & p.lex().isNotNull() & (p.kind_col() == "iri") & o.col.isNotNull()
+            parts = {"s": a.col, "s_kind": a.k, "p": p.lex(), "o": o.col, "o_kind": o.k, "o_dt": o.d, "o_lang": o.l}
+            cells.append(F.when(ok, F.struct(*[c.cast("string").alias(n) for n, c in parts.items()])))
+        if not cells:
+            return s.df.sparkSession.createDataFrame([], QUADS)
+        made = s.df.select(F.explode(F.array(*cells)).alias("q")).where("q is not null").select("q.*").distinct()
+        return s.df.sparkSession.createDataFrame([], QUADS).unionByName(made.withColumn("g", F.lit(None).cast("string")))
+
+    def length(self) -> DataFrame:
+        """``(n)``: the number of distinct statements."""
+        return self.source.quads().distinct().agg(F.count(F.lit(1)).alias("n"))
+
     def explain(self, text: str) -> None:
         self.query(text).explain("formatted")
 
 
+def _walk_triples(tree: Select) -> list[Triple]:
+    if any(not isinstance(i, Triple) for i in tree.where.items):
+        raise SparqlError("a template holds triples only")
+    return tree.where.items
+
+
+def paged(df: DataFrame, order: list[Column], size: int, total: int | None = None) -> DataFrame:
+    """The rows with ``page``, as an extract by LIMIT and OFFSET would fetch them: ``size`` a page in a total order, until ``total`` rows or the end.
+
+    One pass numbers all rows; pages are then read apart without skipping over what came before them.
+    """
+    rows = numbered(df, order, "__at")
+    rows = rows if total is None else rows.where(F.col("__at") < total)
+    return rows.withColumn("page", F.floor(F.col("__at") / size)).drop("__at")
+
+
 def compress_iri(value: Column, prefixes: dict[str, str]) -> Column:
     """``prefix:local`` for values that start with http, the longest namespace first; other values stay."""
     out = value

@@ -102,3 +102,54 @@ def upsert_registry(path: str | Path, dataset: str, entry: dict) -> dict:
     tmp.write_text(json.dumps(registry, indent=1, sort_keys=True))
     os.replace(tmp, p)
     return registry
+
+
+def context_tables(spark: SparkSession, folder: str | Path) -> dict[str, DataFrame]:
+    """The context of a dataset as tables: ``prefixes(prefix, namespace)``, ``examples(question, sparql, classes)``, ``tips(title, body, classes)`` and
+    ``schema(class, property, range, comment, open_world)``."""
+    c = load_context(folder)
+    as_list = lambda x: list(x or [])
+    prefixes = (c["prefixes"] or {}).get("prefixes", c["prefixes"]) or {}
+    examples = [(e["question"], e.get("sparql"), as_list(e.get("classes"))) for e in (c["examples"] or {}).get("examples", [])]
+    tips = [(t["title"], t.get("body"), as_list(t.get("classes"))) for t in (c["tips"] or {}).get("tips", [])]
+    schema = []
+    for cls, body in ((c["schemas"] or {}).get("classes", {}) or {}).items():
+        for p in body.get("properties", []):
+            schema += [(cls, p["pred"], r, p.get("comment"), bool(p.get("open_world"))) for r in (p["range"] if isinstance(p.get("range"), list) else [p.get("range")])]
+    return {
+        "prefixes": spark.createDataFrame(list(prefixes.items()), "prefix string, namespace string"),
+        "examples": spark.createDataFrame(examples, "question string, sparql string, classes array<string>"),
+        "tips": spark.createDataFrame(tips, "title string, body string, classes array<string>"),
+        "schema": spark.createDataFrame(schema, "class string, property string, range string, comment string, open_world boolean"),
+    }
+
+
+def shorten(iri: str, prefixes: dict[str, str]) -> str:
+    """``prefix:local`` by the longest namespace that fits; other IRIs stay."""
+    fits = [(len(ns), p, ns) for p, ns in prefixes.items() if iri.startswith(ns)]
+    return f"{max(fits)[1]}:{iri[max(fits)[0]:]}" if fits else iri
+
+
+def schema_yaml(schema: DataFrame, prefixes: dict[str, str]) -> str:
+    """An extracted schema ``(class, property, range[, comment])`` as the YAML of a context folder; a row a property, so read on the driver."""
+    import yaml
+
+    classes: dict[str, dict] = {}
+    for r in sorted(schema.collect(), key=lambda r: (r["class"], r["property"])):
+        line = {"pred": shorten(r["property"], prefixes), "range": shorten(r["range"], prefixes) if r["range"] else None}
+        if "comment" in r and r["comment"]:
+            line["comment"] = r["comment"]
+        classes.setdefault(shorten(r["class"], prefixes), {"properties": []})["properties"].append(line)
+    return yaml.safe_dump({"prefixes": prefixes, "classes": classes}, allow_unicode=True, sort_keys=True)
+
+
+def render(rows: DataFrame, form: str = "md", order: list[str] | None = None) -> str:
+    """A small table (manifests, reports) as a Markdown table or as JSON."""
+    names = rows.columns
+    data = [r.asDict() for r in rows.orderBy(*(order or names)).collect()]
+    if form == "json":
+        return json.dumps(data, ensure_ascii=False, default=str, indent=1)
+    if form != "md":
+        raise ValueError(f"unknown form {form!r}")
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    return "\n".join(["| " + " | ".join(names) + " |", "|" + "---|" * len(names), *["| " + " | ".join(cell(d[n]) for n in names) + " |" for d in data]]) + "\n"

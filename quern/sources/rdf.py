@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+import warnings
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.plans.syntax import RDF, TYPE, XSD, Iri, Lit, Parser, SparqlError, Var
-from quern.runtime import ship
+from quern.operators.inference import materialize
+from quern.runtime import durable, path_exists, ship
 from quern.sources.graphs import QUADS
 
 _XML = "{http://www.w3.org/XML/1998/namespace}"
@@ -191,23 +194,110 @@ def parse_rdfxml(text: str, scope: str = "") -> list[tuple]:
     return out
 
 
+def parse_jsonld(text: str, scope: str = "") -> list[tuple]:
+    """Quads of a JSON-LD text whose context is inside it: prefixes, ``@vocab``, ``@base``, term definitions with types and languages, nested nodes,
+    ``@graph`` (named where it has an ``@id``), ``@list`` and ``@set``, value objects.  Remote contexts are not fetched."""
+    out: list[tuple] = []
+    count = [0]
+
+    def blank(name: str | None = None) -> str:
+        count[0] += 1
+        return "_:" + hashlib.md5(f"{scope}|{name or count[0]}".encode()).hexdigest()[:16]
+
+    def iri(name: str, ctx: dict, vocab: bool) -> str:
+        if name.startswith("_:"):
+            return blank(name)
+        if vocab and name in ctx:
+            term = ctx[name]
+            target = term.get("@id", name) if isinstance(term, dict) else term
+            if target != name:
+                return iri(target, ctx, True)
+        prefix, _, local = name.partition(":")
+        if local and not local.startswith("//") and isinstance(ctx.get(prefix), str):
+            return ctx[prefix] + local
+        if re.match(r"[A-Za-z][\w+.\-]*:", name):
+            return name
+        return (ctx.get("@vocab", "") if vocab else ctx.get("@base", "")) + name
+
+    def literal(v: object, dt: str | None, lang: str | None) -> tuple:
+        if lang and isinstance(v, str) and not dt:
+            return v, "lit", RDF + "langString", lang.lower()
+        own = XSD + ("boolean" if isinstance(v, bool) else "integer" if isinstance(v, int) else "double" if isinstance(v, float) else "string")
+        return (str(v).lower() if isinstance(v, bool) else str(v)), "lit", dt or own, None
+
+    def value(v: object, term: dict, ctx: dict, graph: str | None) -> tuple:
+        if isinstance(v, dict):
+            if "@value" in v:
+                return literal(v["@value"], iri(v["@type"], ctx, True) if "@type" in v else None, v.get("@language"))
+            if "@list" in v:
+                head = (RDF + "nil", "iri", None, None)
+                for x in reversed(v["@list"]):
+                    cell = blank()
+                    out.append((graph, cell, "bnode", RDF + "first", *value(x, term, ctx, graph)))
+                    out.append((graph, cell, "bnode", RDF + "rest", *head))
+                    head = (cell, "bnode", None, None)
+                return head
+            return (*node(v, ctx, graph), None, None)
+        kind = term.get("@type")
+        if kind in ("@id", "@vocab") and isinstance(v, str):
+            x = iri(v, ctx, kind == "@vocab")
+            return x, "bnode" if x.startswith("_:") else "iri", None, None
+        return literal(v, iri(kind, ctx, True) if kind else None, term.get("@language", ctx.get("@language")))
+
+    def node(n: dict, ctx: dict, graph: str | None) -> tuple[str, str]:
+        own = n.get("@context") or {}
+        for part in own if isinstance(own, list) else [own]:
+            if isinstance(part, str):
+                raise SparqlError(f"the remote context {part} is not fetched")
+            ctx = {**ctx, **part}
+        s = iri(n["@id"], ctx, False) if "@id" in n else blank()
+        kind = "bnode" if s.startswith("_:") else "iri"
+        for key, vs in n.items():
+            vs = vs if isinstance(vs, list) else [vs]
+            if key == "@type":
+                out.extend((graph, s, kind, TYPE, iri(t, ctx, True), "iri", None, None) for t in vs)
+            elif key == "@graph":
+                for x in vs:
+                    node(x, ctx, s if "@id" in n else graph)
+            elif not key.startswith("@"):
+                term = ctx.get(key) if isinstance(ctx.get(key), dict) else {}
+                p = iri(key, ctx, True)
+                if not re.match(r"[A-Za-z][\w+.\-]*:", p):
+                    continue  # no IRI: the key says nothing
+                for v in vs:
+                    for x in v["@set"] if isinstance(v, dict) and "@set" in v else [v]:
+                        if x is not None:
+                            out.append((graph, s, kind, p, *value(x, term, ctx, graph)))
+        return s, kind
+
+    doc = json.loads(text)
+    for n in doc if isinstance(doc, list) else [doc]:
+        node(n, {}, None)
+    return out
+
+
 def parse_text(path: str, data: bytes) -> list[tuple]:
     kind = sniff(path, data)
     text = data.decode("utf-8")
     if kind == "rdfxml":
         return parse_rdfxml(text, path)
     if kind == "jsonld":
-        raise SparqlError("JSON-LD is not read")
+        return parse_jsonld(text, path)
+    if kind in ("ntriples", "nquads"):
+        raise SparqlError("line formats are read by read_lines")
     return parse_turtle(text, path)
 
 
-def read_files(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Turtle and RDF/XML files (also mixed, the format is sniffed): one file is one unit of work, files are spread over the tasks.
+def read_files(spark: SparkSession, path: str, strict: bool = True, sidecars: bool = False) -> DataFrame:
+    """Turtle, RDF/XML and JSON-LD files (also mixed, the format is sniffed): one file is one unit of work, files are spread over the tasks.
 
-    Files whose name starts with ``_`` are sidecars and are passed over.  A file that cannot be parsed fails the read; with ``strict`` off it is dropped.
+    Files whose name starts with ``_`` are sidecars and are passed over (unless ``sidecars``).  A file that cannot be parsed fails the read; with ``strict`` off it is dropped.
     """
     ship(spark)
-    files = spark.read.format("binaryFile").load(path).where(~F.substring_index("path", "/", -1).startswith("_")).select("path", "content")
+    files = spark.read.format("binaryFile").load(path)
+    if not sidecars:
+        files = files.where(~F.substring_index("path", "/", -1).startswith("_"))
+    files = files.select("path", "content")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -246,6 +336,49 @@ def load(spark: SparkSession, path: str, kind: str = "files") -> DataFrame:
     return (read_lines if kind == "lines" else read_files)(spark, path).distinct()
 
 
+def file_kinds(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, kind)``: the format of each file, by its suffix, else by its first bytes."""
+    ship(spark)
+
+    @F.pandas_udf("string")
+    def kind(names: pd.Series, heads: pd.Series) -> pd.Series:
+        return pd.Series([sniff(n, bytes(h)) for n, h in zip(names, heads)])
+
+    name = F.substring_index("path", "/", -1)
+    return spark.read.format("binaryFile").load(path).select(name.alias("file"), kind(name, F.substring("content", 1, 200)).alias("kind"))
+
+
+def load_dataset(spark: SparkSession, folder: str, ontologies: Sequence[str] = (), infer: bool = True) -> DataFrame:
+    """A dataset's quads: its data files (those starting with ``_`` are sidecars), then its ``_ontology.ttl`` if it has one, then bundled
+    ontologies, as a set; then what follows from them.  Data that cannot be read fail the load; inference that fails is a warning."""
+    quads = read_files(spark, folder)
+    own = f"{folder.rstrip('/')}/_ontology.ttl"
+    for path in ([own] if path_exists(spark, own) else []) + list(ontologies):
+        quads = quads.unionByName(read_files(spark, path, sidecars=True))
+    quads = durable(quads.distinct())
+    if not infer:
+        return quads
+    try:
+        return quads.unionByName(materialize(quads))
+    except Exception as e:  # the facts that were loaded are worth having without what follows from them
+        warnings.warn(f"inference over {folder} failed: {e}", stacklevel=2)
+        return quads
+
+
+def inject_entities(xml: Column, entities: dict[str, str]) -> Column:
+    """An RDF/XML text with a DOCTYPE that declares the entities it uses, before its first element; texts that have one stay."""
+    declared = "<!DOCTYPE rdf:RDF [" + "".join(f'<!ENTITY {k} "{v}">' for k, v in entities.items()) + "]>"
+    head = F.regexp_extract(xml, r"^(\s*<\?xml[^>]*\?>)?", 0)
+    return F.when(xml.contains("<!DOCTYPE"), xml).otherwise(F.concat(head, F.lit(declared), F.substring(xml, F.char_length(head) + 1, F.char_length(xml))))
+
+
+def correct_text(text: Column, corrections: dict[str, str]) -> Column:
+    """A text with known slips replaced, one after the other."""
+    for bad, good in corrections.items():
+        text = F.replace(text, F.lit(bad), F.lit(good))
+    return text
+
+
 def rewrite_namespace(quads: DataFrame, old: str, new: str) -> DataFrame:
     """Every IRI of one namespace moved to another."""
     move = lambda c: F.when(F.col(c).startswith(old), F.concat(F.lit(new), F.substring(F.col(c), len(old) + 1, 2**31 - 1))).otherwise(F.col(c))
