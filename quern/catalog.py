@@ -684,7 +684,7 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 def _everything() -> None:
     """The other modules of the catalogue add theirs when they are imported."""
-    from quern import catalog_graph  # noqa: F401
+    from quern import catalog_graph, catalog_io, catalog_records  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

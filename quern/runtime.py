@@ -89,6 +89,13 @@ def durable(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed when the program ends."""
+    path = f"{checkpoint_dir(spark)}/quern/{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
 def settles(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """An operator whose result is written once; the intermediate tables that it made are deleted as soon as it is."""
 

@@ -288,16 +288,25 @@ def parse_text(path: str, data: bytes) -> list[tuple]:
     return parse_turtle(text, path)
 
 
-def read_files(spark: SparkSession, path: str, strict: bool = True, sidecars: bool = False) -> DataFrame:
+def read_sidecar(spark: SparkSession, path: str) -> DataFrame:
+    """Quads of one file whose name starts with ``_``, which Spark's readers pass over: a dataset's ontology, read on the driver."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return spark.createDataFrame(parse_text(path.rsplit("/", 1)[-1], text.encode()), QUADS)
+
+
+def read_files(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Turtle, RDF/XML and JSON-LD files (also mixed, the format is sniffed): one file is one unit of work, files are spread over the tasks.
 
-    Files whose name starts with ``_`` are sidecars and are passed over (unless ``sidecars``).  A file that cannot be parsed fails the read; with ``strict`` off it is dropped.
+    Files whose name starts with ``_`` are sidecars and are passed over.  A file that cannot be parsed fails the read; with ``strict`` off it is dropped.
     """
     ship(spark)
-    files = spark.read.format("binaryFile").load(path)
-    if not sidecars:
-        files = files.where(~F.substring_index("path", "/", -1).startswith("_"))
-    files = files.select("path", "content")
+    files = spark.read.format("binaryFile").load(path).where(~F.substring_index("path", "/", -1).startswith("_")).select("path", "content")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -354,7 +363,7 @@ def load_dataset(spark: SparkSession, folder: str, ontologies: Sequence[str] = (
     quads = read_files(spark, folder)
     own = f"{folder.rstrip('/')}/_ontology.ttl"
     for path in ([own] if path_exists(spark, own) else []) + list(ontologies):
-        quads = quads.unionByName(read_files(spark, path, sidecars=True))
+        quads = quads.unionByName(read_sidecar(spark, path) if path.rsplit("/", 1)[-1].startswith("_") else read_files(spark, path))
     quads = durable(quads.distinct())
     if not infer:
         return quads

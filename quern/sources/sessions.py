@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions.text import is_known_uri, uris_in_text
+from quern.runtime import durable
 
 EVENT = "session_id string, seq long, type string, dataset string, timestamp timestamp, data string, _corrupt_record string"
 
@@ -16,6 +17,11 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVENT).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path).withColumn("file", F.input_file_name())
 
 
+def broken_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(line)``: what could not be read, collected and not fatal."""
+    return durable(read_sessions(spark, path)).where("_corrupt_record is not null").select(F.col("_corrupt_record").alias("line"))
+
+
 def session_summary(events: DataFrame, key: str = "session_id", at: str = "timestamp") -> DataFrame:
     return events.groupBy(key).agg(F.count(F.lit(1)).alias("events"), F.min(at).alias("first_at"), F.max(at).alias("last_at"))
 
