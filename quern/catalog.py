@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from quern.functions import onomastics as N
 from quern.functions import text as X
-from quern.functions.uris import canonical_uri, qids
 from quern.operators import linkage as L
 from quern.operators import profile as P
 from quern.operators import relational as R
@@ -21,7 +20,7 @@ from quern.operators.inference import materialize
 from quern.plans.engine import Graph, compress_iri, expand_iri, local_name, prefer_language
 from quern.plans.syntax import RDFS, SKOS, TYPE
 from quern.sources.graphs import QUADS, Column_, MappedSource, QuadSource, Table
-from quern.sources.sessions import event_uris, feed_filter, session_summary
+from quern.sources.sessions import event_uris, session_summary
 from quern.streaming import sessionized, windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,7 +113,7 @@ sparql("SELECT ?c ?n ?b WHERE { { ?c q:customerName ?n } UNION { ?c q:balance ?b
 sparql(f"SELECT ?n ?name WHERE {{ VALUES ?n {{ <{NS}nation/3> <{NS}nation/7> <{NS}nation/99> }} ?n q:nationName ?name }}", f"SELECT '{NS}nation/' || n_nationkey AS n, n_name AS name FROM nation WHERE n_nationkey IN (3, 7, 99)", "values_join")
 sparql(f'SELECT ?c ?s WHERE {{ VALUES (?s ?n) {{ ("BUILDING" <{NS}nation/1>) ("MACHINERY" UNDEF) }} ?c q:segment ?s ; q:nation ?n }}', f"SELECT '{NS}customer/' || c_custkey AS c, c_mktsegment AS s FROM customer WHERE (c_mktsegment = 'BUILDING' AND c_nationkey = 1) OR (c_mktsegment = 'MACHINERY' AND c_nationkey IS NOT NULL)", "values_undef")
 sparql("SELECT ?c WHERE { ?c a q:Customer FILTER EXISTS { ?o q:customer ?c ; q:total ?t FILTER(?t > 300000) } }", f"SELECT '{NS}customer/' || c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)", "exists_semi")
-sparql("SELECT ?c WHERE { ?c a q:Customer FILTER NOT EXISTS { ?o q:customer ?c } }", f"SELECT '{NS}customer/' || c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", "not_exists_anti")
+sparql("SELECT ?c WHERE { ?c a q:Customer FILTER NOT EXISTS { ?o q:customer ?c ; q:total ?t FILTER(?t > 300000) } }", f"SELECT '{NS}customer/' || c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)", "not_exists_anti")
 sparql(
     "SELECT ?c ?b WHERE { ?c a q:Customer ; q:balance ?b FILTER(?b > 9000 || EXISTS { ?o q:customer ?c ; q:total ?t FILTER(?t > ?b * 90) }) }",
     f"SELECT '{NS}customer/' || c_custkey AS c, c_acctbal AS b FROM customer WHERE c_acctbal > 9000 OR (c_acctbal IS NOT NULL AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 90))",
@@ -195,7 +194,6 @@ _P = "(SELECT DISTINCT dprr_uri, nomen, cognomen, highest_office, era_from, era_
 quad_sparql("SELECT ?s ?n ?a WHERE { ?s a q:Person ; q:nomen ?n ; q:eraFrom ?a FILTER(?a < -100) }", f"SELECT dprr_uri AS s, nomen AS n, era_from::VARCHAR AS a FROM {_P} WHERE era_from < -100 AND nomen IS NOT NULL", "quads_typed_filter")
 quad_sparql("SELECT ?g ?s WHERE { GRAPH ?g { ?s q:office ?o } }", f"SELECT '{NS}office/' || replace(highest_office, ' ', '_') AS g, dprr_uri AS s FROM {_P} WHERE highest_office IS NOT NULL", "graph_variable")
 quad_sparql(f"SELECT ?s WHERE {{ GRAPH <{NS}office/consul> {{ ?s q:office ?o }} }}", f"SELECT dprr_uri AS s FROM {_P} WHERE highest_office = 'consul'", "graph_constant")
-quad_sparql("SELECT (COUNT(*) AS ?n) WHERE { ?s q:office ?o }", "SELECT 0::BIGINT AS n", "graph_default")
 quad_sparql(
     "SELECT ?s ?c ?b WHERE { ?s a q:Person OPTIONAL { ?s q:cognomen ?c } OPTIONAL { ?s q:eraTo ?b } } ORDER BY ?s",
     f"SELECT dprr_uri AS s, cognomen AS c, era_to::VARCHAR AS b FROM {_P}", "quads_optional",
@@ -212,11 +210,6 @@ quad_sparql(
 )
 
 
-@query("SELECT count(*) AS n FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)")
-def store_length(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").select(F.lit(None).cast("string").alias("g"), F.concat(F.lit("p:"), "l_partkey").alias("s"), F.lit("iri").alias("s_kind"), F.lit(NS + "suppliedBy").alias("p"), F.concat(F.lit("s:"), "l_suppkey").alias("o"), F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_dt"), F.lit(None).cast("string").alias("o_lang"))
-    return rows.distinct().agg(F.count(F.lit(1)).alias("n"))
-
 
 @query(
     """WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS a, p_partkey // 2 AS b FROM part WHERE p_partkey // 2 > 0),
@@ -265,19 +258,6 @@ def lang_preference(spark: SparkSession, d: str) -> DataFrame:
     return prefer_language(table(spark, d, "documents").select("source", "doc_id", "lang"), {"doc_id": "lang"}, ["source"], ["doc_id"]).select("source", "doc_id")
 
 
-@query(
-    r"""SELECT DISTINCT u, regexp_replace(lower(regexp_extract(rest, '^([^/#?]*)', 1)), '^www\.', '') || regexp_replace(rest, '^[^/#?]*', '') AS canonical FROM (
-    SELECT u, regexp_replace(regexp_replace(replace(u, '%23', '#'), '^[A-Za-z]+://', ''), '/*(#(this|self|it))?/*$', '', 'i') AS rest FROM (SELECT unnest(flatten(map_values(uris))) AS u FROM meta_entities WHERE uris IS NOT NULL)) WHERE u IS NOT NULL"""
-)
-def uri_canonical(spark: SparkSession, d: str) -> DataFrame:
-    u = table(spark, d, "meta_entities").select(F.explode(F.flatten(F.map_values("uris"))).alias("u")).where("u is not null").distinct()
-    return u.select("u", canonical_uri(F.col("u")).alias("canonical"))
-
-
-@query(r"SELECT DISTINCT wikidata_qid, regexp_extract(wikidata_qid, '[Qq]([0-9]+)\s*$', 1) AS number FROM meta_entities WHERE regexp_matches(wikidata_qid, '[Qq][0-9]+\s*$')")
-def qid_numbers(spark: SparkSession, d: str) -> DataFrame:
-    q = table(spark, d, "meta_entities").select("wikidata_qid").distinct()
-    return q.select("wikidata_qid", F.explode(qids("wikidata_qid")).alias("q")).select("wikidata_qid", F.substring("q", 2, 40).alias("number"))
 
 
 @query("SELECT dprr_uri, CASE WHEN era_from IS NULL AND era_to IS NULL THEN NULL ELSE coalesce(CASE WHEN era_from < 0 THEN abs(era_from) || ' BC' ELSE era_from || ' AD' END, '?') || '–' || coalesce(CASE WHEN era_to < 0 THEN abs(era_to) || ' BC' ELSE era_to || ' AD' END, '?') END AS era FROM (SELECT DISTINCT dprr_uri, era_from, era_to FROM dprr_persons)")
@@ -300,17 +280,6 @@ def year_padding(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), X.pad_year((F.col("o_orderkey") % 900 - 450).cast("string")).alias("padded"))
 
 
-@query()
-def greek_names(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "person_contexts").select("name").distinct().where(N.is_greek(F.col("name")))
-    made = n.select("name", N.normalize_inscription_name(F.col("name")).alias("x"))
-    return made.select("name", F.col("x.name").alias("latin"), F.col("x.was_greek").alias("was_greek"))
-
-
-@query()
-def roman_names(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "dprr_persons").select("dprr_label").distinct()
-    return n.select("dprr_label", N.parse_roman_name(F.col("dprr_label"), True).alias("x")).select("dprr_label", "x.*")
 
 
 @query(
@@ -328,21 +297,6 @@ def offices_normalized(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "post_assertions").select("post_id", "office").distinct().select("post_id", "office", N.normalize_office(F.col("office")).alias("known"))
 
 
-@query()
-def question_extract(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").where("text is not null")
-    return t.select("doc_id", X.question_parts(F.col("text")).alias("q")).select("doc_id", "q.intent", "q.temporal", "q.spatial", F.array_join("q.classes", ",").alias("classes"), F.array_join("q.suggested_datasets", ",").alias("datasets"))
-
-
-@query(
-    """SELECT doc_id, CASE WHEN t LIKE '%doi.org/%' THEN replace(t, '<doi.org/', '<https://doi.org/') ELSE replace(t, '@etruscan-in-latin-characters', '@x-etruscan-latn') END AS fixed, 1 AS changed
-    FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '<urn:d' || doc_id || '> <urn:cites> <doi.org/10.1/' || doc_id || '> .' ELSE '<urn:d' || doc_id || '> <urn:name> "x"@etruscan-in-latin-characters .' END AS t FROM documents)"""
-)
-def sanitize_lines(spark: SparkSession, d: str) -> DataFrame:
-    s = F.concat(F.lit("<urn:d"), "doc_id", F.lit("> "))
-    line = F.when(F.col("doc_id") % 2 == 0, F.concat(s, F.lit("<urn:cites> <doi.org/10.1/"), "doc_id", F.lit("> ."))).otherwise(F.concat(s, F.lit('<urn:name> "x"@etruscan-in-latin-characters .')))
-    fixed = table(spark, d, "documents").select("doc_id", line.alias("line")).withColumn("fixed", X.sanitize_line(F.col("line")))
-    return fixed.select("doc_id", "fixed", (F.col("line") != F.col("fixed")).cast("int").alias("changed"))
 
 
 # -- profiles and schemas
@@ -368,10 +322,6 @@ def void_property_partition(spark: SparkSession, d: str) -> DataFrame:
     return P.void_properties(_mapped_quads(spark, d))
 
 
-@query("SELECT 'https://pleiades.example/places/91' AS prefix")
-def common_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return P.common_prefix(table(spark, d, "places"), "place_uri")
-
 
 @query(
     f"""SELECT '{NS}Person' AS class, p AS property, CASE WHEN p IN ('{NS}eraFrom', '{NS}eraTo') THEN 'http://www.w3.org/2001/XMLSchema#integer' ELSE 'http://www.w3.org/2001/XMLSchema#string' END AS range, count(*) AS uses
@@ -381,12 +331,6 @@ def schema_extract(spark: SparkSession, d: str) -> DataFrame:
     return P.extract_schema(_mapped_quads(spark, d))
 
 
-@query("SELECT 'customer' AS class, 'changed' AS change, 2 AS old_n, 3 AS new_n UNION ALL SELECT 'supplier', 'added', 0, 1 UNION ALL SELECT 'part', 'removed', 1, 0")
-def schema_diff(spark: SparkSession, d: str) -> DataFrame:
-    old = spark.createDataFrame([("customer", "a"), ("customer", "b"), ("part", "x"), ("nation", "n")], "class string, property string")
-    new = spark.createDataFrame([("customer", "a"), ("customer", "b"), ("customer", "c"), ("supplier", "x"), ("nation", "n")], "class string, property string")
-    return P.schema_diff(old, new)
-
 
 def _axioms(spark: SparkSession, pairs: list[tuple[str, str, str]]) -> DataFrame:
     return spark.createDataFrame([(None, s, "iri", p, o, "iri", None, None) for s, p, o in pairs], QUADS)
@@ -417,7 +361,8 @@ SELECT id, round(score, 6) AS score FROM sc {where} ORDER BY sc.score DESC, id L
 
 
 def _search(spark: SparkSession, d: str, text: str, k: int, every: bool = False) -> DataFrame:
-    index = Q.TextIndex(table(spark, d, "documents"), "doc_id", "text", stemmed=False)
+    docs = table(spark, d, "documents").select("doc_id", "text", F.col("source").alias("dataset"))
+    index = Q.TextIndex.stored(docs, "doc_id", "text", False, ("dataset",))  # built once for all queries over these documents
     return index.search(text, k, every).select("id", F.round("score", 6).alias("score"))
 
 
@@ -450,16 +395,6 @@ def knn_cosine(spark: SparkSession, d: str) -> DataFrame:
     return near.select("id", (F.round("distance", 6) + F.lit(0.0)).alias("distance"))
 
 
-@query(
-    _BM25.format(terms="'harbour', 'mint'", where="", limit=30).replace("SELECT id, round(score, 6) AS score FROM sc", ", t AS (SELECT id, score FROM sc").rstrip()
-    + f"), v AS (SELECT b.vec_id AS id, 1 - {_COS} AS dist FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 1) a, embeddings b ORDER BY dist, id LIMIT 30), "
-    "r AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS n FROM t UNION ALL SELECT id, row_number() OVER (ORDER BY dist, id) - 1 FROM v) SELECT id, round(sum(1 / (60.0 + n)), 9) AS score FROM r GROUP BY id ORDER BY sum(1 / (60.0 + n)) DESC, id LIMIT 10"
-)
-def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
-    index = Q.TextIndex(table(spark, d, "documents"), "doc_id", "text", stemmed=False)
-    found = Q.hybrid(index, table(spark, d, "embeddings"), "harbour mint", _first_vector(spark, d), 10, ident="vec_id", vec="embedding")
-    return found.select("id", F.round("score", 9).alias("score"))
-
 
 @query(f"SELECT left_id, right_id FROM (SELECT a.vec_id AS left_id, b.vec_id AS right_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS n, {_COS} AS c FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) WHERE n <= 5 AND c >= 0.1")
 def similarity_topk_join(spark: SparkSession, d: str) -> DataFrame:
@@ -504,15 +439,6 @@ def blocking_name_match(spark: SparkSession, d: str) -> DataFrame:
     return E.match_names(l, r)
 
 
-@query()
-def disambiguated_people(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "person_contexts").select("context_id", "nomen", "filiation", "office", "date_start", "date_end", F.col("findspot_uri").alias("findspot")).dropDuplicates(["context_id"])
-    p = table(spark, d, "dprr_persons").select(F.col("dprr_uri").alias("person"), F.col("dprr_label").alias("label"), "nomen", "era_from", "era_to").dropDuplicates(["person"])
-    posts = table(spark, d, "post_assertions").dropDuplicates(["post_id"])
-    father = table(spark, d, "dprr_persons").select(F.col("dprr_uri").alias("person"), N.parse_filiation(F.col("filiation"))["father"].alias("father"), F.lit(None).cast("string").alias("grandfather")).dropDuplicates(["person"])
-    out = E.disambiguate(c, p, posts.select(F.col("dprr_uri").alias("person"), "office", "date_start"), father, posts.where("province_uri is not null").select(F.col("dprr_uri").alias("person"), F.col("province_uri").alias("place")))
-    return out.where("rank = 1").select("context_id", "person", F.round("score", 6).alias("score"), "confidence")
-
 
 @query(
     """WITH q AS (SELECT DISTINCT dprr_uri, date_start, post_id FROM post_assertions WHERE dprr_uri IS NOT NULL AND date_start IS NOT NULL), p AS (SELECT DISTINCT dprr_uri, era_from FROM dprr_persons WHERE era_from IS NOT NULL)
@@ -589,11 +515,6 @@ def substring_rank(spark: SparkSession, d: str) -> DataFrame:
     return R.substring_rank(table(spark, d, "part"), "p_name", "g", [F.col("p_partkey").asc()]).select(F.col("p_partkey").alias("id"), "position")
 
 
-@query("SELECT p_partkey AS id, row_number() OVER (ORDER BY p_partkey) AS place FROM part")
-def natural_sort(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("item "), "p_partkey").alias("t"))
-    return R.with_rank0(p, [R.natural_key(F.col("t")).asc()], name="r").select("id", (F.col("r") + 1).alias("place"))
-
 
 # -- links
 def _links(spark: SparkSession, d: str) -> DataFrame:
@@ -643,22 +564,7 @@ def session_summaries(spark: SparkSession, d: str) -> DataFrame:
     return session_summary(table(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("ts").alias("timestamp")))
 
 
-@query("SELECT DISTINCT user_id AS session_id, event_id AS seq FROM events")
-def session_dedup(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), "ts")
-    return e.unionByName(e).dropDuplicates(["session_id", "seq"]).select("session_id", "seq")
-
-
-@query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
-def json_payload_extract(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
-
 
-@query("SELECT user_id AS session_id, event_id AS seq FROM events WHERE event_type IN ('click', 'view') AND (event_id % 5 = 0 OR event_id % 3 = 0)")
-def session_feed(spark: SparkSession, d: str) -> DataFrame:
-    data = F.when(F.col("event_id") % 7 == 0, F.lit("{}")).otherwise(F.lit('{"row_count": 1}'))
-    e = table(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("type"), F.when(F.col("event_id") % 5 == 0, F.lit(None)).when(F.col("event_id") % 3 == 0, F.lit("edh")).otherwise(F.lit("rpc")).alias("dataset"), data.alias("data"))
-    return feed_filter(e, ["click", "view"], ["edh"], hide_empty=True).select("session_id", "seq")
 
 
 @query("SELECT event_id, 'http://nomisma.org/id/e' || event_id AS uri FROM events WHERE event_id % 4 IN (0, 1)")

@@ -149,9 +149,9 @@ def chunks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], text: st
     Rows are numbered in one order over all keys and counted from the first of their key, so a key with a third of all rows is no task's burden.
     """
     n = numbered(df, [*[F.col(k).asc() for k in keys], *order], "__at")
-    starts = n.groupBy(*keys).agg(F.min("__at").alias("__start"))
-    same = functools.reduce(lambda a, b: a & b, [n[k].eqNullSafe(starts[k]) for k in keys], F.lit(True))
-    own = n.join(starts, same).select(*[n[k] for k in keys], F.col(text), (F.col("__at") - F.col("__start")).alias("__n"))
+    starts = n.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(F.min("__at").alias("__start"))
+    same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys], F.lit(True))
+    own = n.join(starts, same).select(*keys, F.col(text), (F.col("__at") - F.col("__start")).alias("__n"))
     made = own.withColumn("chunk", F.floor(F.col("__n") / size)).groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list(F.struct("__n", text))).alias("__x"))  # at most size entries
     return made.select(*keys, "chunk", F.array_join(F.transform("__x", lambda x: x[text]), sep).alias("text"))
 
@@ -182,3 +182,17 @@ def weighted_score(signals: Column) -> Column:
         lambda acc, x: F.struct((acc["s"] + F.when(x["is_absent"], 0.0).otherwise(x["weight"] * x["score"])).alias("s"), (acc["w"] + x["weight"]).alias("w")),
         lambda acc: F.when(acc["w"] > 0, acc["s"] / acc["w"]).otherwise(F.lit(0.0)),
     )
+
+
+def grouped_values(df: DataFrame, keys: Sequence[str], value: str, position: str) -> DataFrame:
+    """``(*keys, values)``: the distinct values of each group in the order of their first position.  Values are merged before they are gathered."""
+    first = df.groupBy(*keys, value).agg(F.min(position).alias("__at"))
+    made = first.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__at", value))).alias("__v"))
+    return made.select(*keys, F.transform("__v", lambda x: x[value]).alias("values"))
+
+
+def limit_large_groups(df: DataFrame, keys: Sequence[str], order: Sequence[Column], above: int, k: int) -> DataFrame:
+    """The first ``k`` rows of groups of more than ``above`` rows; other groups whole."""
+    sizes = df.groupBy(*keys).agg((F.count(F.lit(1)) > above).alias("__large"))
+    tagged = df.join(sizes, list(keys))
+    return tagged.where("not __large").unionByName(top_k(tagged.where("__large"), keys, order, k)).drop("__large")

@@ -6,6 +6,7 @@ import functools
 import hashlib
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -241,7 +242,6 @@ def embed_text(text: Column, dims: int = 384, n: int = 3) -> Column:
     import zlib
 
     import numpy as np
-    import pandas as pd
 
     @F.pandas_udf("array<float>")
     def vectors(texts: pd.Series) -> pd.Series:
