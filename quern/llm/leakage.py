@@ -22,7 +22,6 @@ ROW = 20
 #: Windows have the size of the smallest passage that counts, ROW words, and their fingerprints find copies and near-copies.  A changed word
 #: moves about a tenth of a fingerprint's bits, more than any block index can guarantee and still select; rows with changed words are
 #: guaranteed by pairs of words with one between them (see ``least_pairs``), of which every legal row keeps a third on one alignment.
-CHUNK = 50_000
 #: Fingerprints of 64 bits in four blocks: two that differ in at most three bits agree in a block, so none within the radius is missed.
 BLOCKS, RADIUS = 4, 3
 #: A sentence that stands in so many different items is a stock instruction.
@@ -53,15 +52,48 @@ def _hashes(ws: list[str]) -> np.ndarray:
     return np.fromiter(map(_hash, ws), np.uint64, len(ws))
 
 
+def _plus(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+    """The sums of two numbers for each of the 64 bits of each word; numbers are kept as words of their binary digits, lowest first."""
+    out, carry = [], None
+    for k in range(max(len(a), len(b))):
+        x = [v for v in (a[k] if k < len(a) else None, b[k] if k < len(b) else None, carry) if v is not None]
+        if len(x) == 3:
+            half = x[0] ^ x[1]
+            out.append(half ^ x[2])
+            carry = (x[0] & x[1]) | (x[2] & half)
+        elif len(x) == 2:
+            out.append(x[0] ^ x[1])
+            carry = x[0] & x[1]
+        else:
+            out.append(x[0])
+            carry = None
+    return out if carry is None else [*out, carry]
+
+
 def fingerprints(h: np.ndarray, size: int = ROW) -> np.ndarray:
-    """SimHash of each window of ``size`` word hashes: every bit is the majority of the words' bits (a draw is 0), from running sums."""
-    out = np.zeros(max(0, len(h) - size + 1), np.uint64)
-    for lo in range(0, len(out), CHUNK):
-        part = np.ascontiguousarray(h[lo : lo + CHUNK + size - 1])
-        sums = np.zeros((len(part) + 1, 64), np.int32)
-        np.cumsum(np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1), axis=0, out=sums[1:])
-        out[lo : lo + CHUNK] = np.packbits(2 * (sums[size:] - sums[:-size]) > size, axis=1).view(np.uint64)[:, 0]
-    return out
+    """SimHash of each window of ``size`` word hashes: every bit is the majority of the words' bits (a draw is 0).
+
+    The counts of all 64 bits are added side by side: windows of 1, 2, 4, ... words are doubled, and those that make up ``size`` are added.
+    """
+    n = len(h) - size + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    power, width, total, at = [h], 1, None, 0
+    while width <= size:
+        if size & width:
+            part = [d[at : at + n] for d in power]
+            total, at = (part if total is None else _plus(total, part)), at + width
+        if 2 * width <= size:
+            power = _plus([d[:-width] for d in power], [d[width:] for d in power])
+        width *= 2
+    more, same = np.zeros(n, np.uint64), np.full(n, ~np.uint64(0))
+    for k in range(len(total) - 1, -1, -1):  # more than half of the words
+        if size // 2 >> k & 1:
+            same = same & total[k]
+        else:
+            more = more | (same & total[k])
+            same = same & ~total[k]
+    return more
 
 
 def pair_keys(h: np.ndarray) -> np.ndarray:

@@ -461,11 +461,12 @@ def test_majority_bits():
     assert leakage.fingerprints(h, 5).tolist() == [int(x) for x in want]
 
 
-def test_fingerprints_of_item_sized_windows(monkeypatch):
+def test_fingerprints_of_item_sized_windows():
     h = np.array([leakage._hash(str(k)) for k in range(90)], np.uint64)
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
     want = [int(np.packbits((bits[k : k + 20].sum(0) > 10).astype(np.uint8)).view(np.uint64)[0]) for k in range(71)]
-    monkeypatch.setattr(leakage, "CHUNK", 13)
+    for size in (1, 2, 3, 7, 16, 31):
+        assert leakage.fingerprints(h, size).tolist() == [int(np.packbits((2 * bits[k : k + size].sum(0, dtype=int) > size).astype(np.uint8)).view(np.uint64)[0]) for k in range(91 - size)]
     assert leakage.fingerprints(h).tolist() == want and len(leakage.fingerprints(h[:19])) == 0
 
 
