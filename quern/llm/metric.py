@@ -72,11 +72,16 @@ def near_cells(words: DataFrame, own: DataFrame) -> DataFrame:
     of words and pivots) and measured exactly.
     """
     cells = durable(own.groupBy("pivot").agg(F.max("gap").alias("reach")))
-    widest = cells.agg(F.max("reach").alias("m")).first()["m"] or 0
-    asked = words.select("word", F.explode(_keys(F.col("word"), True, RADIUS + widest)).alias("v"))
-    held = cells.select("pivot", "reach", F.explode(_keys(F.col("pivot"), False, RADIUS + widest)).alias("v"))
+    widths = [r["reach"] for r in cells.select("reach").distinct().collect()]  # 0 to COVER
+    keys = lambda c, asked, reach: _keys(F.col(c), asked, RADIUS + reach)
+    asked = words.select("word", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *[keys("word", True, w) for w in widths]))).alias("v"))
+    own_keys = F.array().cast("array<string>")
+    for w in widths:  # a cell of one word is looked for within RADIUS only
+        own_keys = F.when(F.col("reach") == w, keys("pivot", False, w)).otherwise(own_keys)
+    held = cells.select("pivot", "reach", F.explode(own_keys).alias("v"))
     met = asked.join(held.hint("merge"), "v").select("word", "pivot", "reach").distinct()
-    return met.withColumn("far", F.levenshtein("word", "pivot")).where(F.col("far") <= F.col("reach") + RADIUS).select("word", "pivot", "far")
+    near = met.withColumn("far", F.levenshtein("word", "pivot", RADIUS + COVER)).where("far >= 0")
+    return near.where(F.col("far") <= F.col("reach") + RADIUS).select("word", "pivot", "far")
 
 
 def radius_join(left: DataFrame, right: DataFrame, first: str, second: str) -> DataFrame:
