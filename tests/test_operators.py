@@ -222,3 +222,56 @@ def test_linkage(spark):
     g = graph(spark, [("a", OWL + "sameAs", "b"), ("a", "name", "A", None, "en"), ("a", "name", "Ä", None, "de")]).source.df
     assert rows(L.cross_references(g, spark.createDataFrame([(EX + "b",)], "uri string")).select("target")) == [(EX + "a",)]
     assert rows(L.entity_card(g, spark.createDataFrame([(EX + "a",)], "uri string")).select("values")) == [(["A"],), ([EX + "b"],)]
+
+
+def test_search_by_dataset_and_stored_index(spark):
+    """A dataset whose every hit ranks below those of a large one still shows its own."""
+    rows_ = [(i, "consul consul consul", "large") for i in range(300)] + [(1000, "one consul among very many other words that make it rank last of all", "small")]
+    docs = spark.createDataFrame(rows_, "id int, text string, dataset string")
+    ix = Q.TextIndex.stored(docs, keep=("dataset",))
+    none = spark.createDataFrame([], "dataset string, id int, name string")
+    found = Q.search_entities(ix, none, "consul", per_dataset=3).collect()
+    assert {r["id"] for r in found if r["dataset"] == "small"} == {1000} and sum(r["dataset"] == "large" for r in found) == 3
+    again = Q.TextIndex.stored(docs.repartition(3), keep=("dataset",))
+    assert again.postings.inputFiles() == ix.postings.inputFiles()
+    other = Q.TextIndex.stored(docs.where("id > 0"), keep=("dataset",))
+    assert other.n == 300 and other.postings.inputFiles() != ix.postings.inputFiles()
+    assert ix.without(F.col("dataset") == "large").search("consul", 5).count() == 1
+    catalog = spark.createDataFrame([("large", "coins"), ("small", "stones and coins")], "dataset string, description string")
+    assert {r["dataset"] for r in Q.discover(ix, catalog, "consul", k=5).collect()} == {"large"}
+    assert {r["dataset"] for r in Q.discover(ix, catalog, "stones xyz").collect()} == {"small"}
+    assert Q.discover(ix, catalog, "").count() == 0
+
+
+def test_closure_from_starts(spark):
+    from quern.operators.closure import reachable
+
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (5, 6), (None, 7)], "src int, dst int")
+    assert rows(reachable(e, spark.createDataFrame([(1,)], "src int"))) == [(1, 1), (1, 2), (1, 3)]
+    assert rows(reachable(e, spark.createDataFrame([(6,), (9,)], "src int"))) == []
+    assert rows(reachable(e.limit(0), spark.createDataFrame([(1,)], "src int"))) == []
+
+
+def test_numbers_and_chunks_over_many_tasks(spark):
+    df = spark.createDataFrame([("hot", i) for i in range(200)] + [("b", 1), (None, 5), (None, 6)], "k string, i int").repartition(5)
+    got = R.numbered(df, [F.col("k").asc_nulls_first(), F.col("i").asc()], "n").collect()
+    assert [(r["k"], r["i"]) for r in sorted(got, key=lambda r: r["n"])] == [(None, 5), (None, 6), ("b", 1)] + [("hot", i) for i in range(200)] and {r["n"] for r in got} == set(range(203))
+    parts = R.chunks(df.withColumn("t", F.col("i").cast("string")), ["k"], [F.col("i").asc()], "t", 90)
+    assert {(r["k"], r["chunk"]): len(r["text"].split(", ")) for r in parts.collect()} == {("hot", 0): 90, ("hot", 1): 90, ("hot", 2): 20, ("b", 0): 1, (None, 0): 2}
+    assert R.numbered(df.limit(0), [F.col("i").asc()]).count() == 0
+    pairs = spark.createDataFrame([(1, 1), (2, 2), (2, 3), (None, 4)], "l int, r int")
+    assert {(r["l"], r["r"]) for r in R.unique_pairs(pairs, "l", "r").where("unique").collect()} == {(1, 1), (None, 4)}
+
+
+def test_inference_leaves_the_rest_alone(spark):
+    base = [("h", RDFS + "subPropertyOf", "name"), ("x", "h", "X", "string"), ("x", "name", "X", "string"), ("y", "h", "Y", "string"), ("y", "other", "z")]
+    assert rows(materialize(quads(spark, base)).select("s", "p", "o")) == [(EX + "y", EX + "name", "Y")]
+
+
+def test_resolution_of_entities(spark):
+    g = graph(spark, [("a", RDFS + "label", "Alpha", None, "de"), ("a", RDFS + "label", "A", None, "en"), ("a", TYPE, "Thing"), ("a", RDFS + "seeAlso", "b"), ("c", "p", "d")]).source.df
+    uris = spark.createDataFrame([(EX.replace("http://", "https://") + "a",), (EX + "c",), (EX + "nowhere",)], "uri string")
+    got = {r["uri"].split("/")[-1]: r for r in L.resolve_entities(g, uris).collect()}
+    assert set(got) == {"a", "c"} and got["a"]["name"] == "A" and got["a"]["types"] == ["Thing"] and got["a"]["see_also"] == [EX + "b"] and got["c"]["name"] == "c"
+    more = L.extend_clusters(spark.createDataFrame([(1, "n")], "cluster int, uri string"), spark.createDataFrame([("n", "http://www.wikidata.org/entity/Q5")], "uri string, authority string"), spark.createDataFrame([("https://www.wikidata.org/wiki/Q5", f"e{i}") for i in range(9)], "authority string, uri string"), 4)
+    assert {r["uri"] for r in more.collect()} == {"n", "http://www.wikidata.org/entity/Q5", "e0", "e1", "e2", "e3"}

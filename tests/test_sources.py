@@ -164,3 +164,27 @@ def test_run_and_probe(spark, tmp_path):
     assert run_sparql(g, "SELECT ?w { ?w ex:hasColor ?c }", budget_ms=0).diagnosis == []
     assert run_sparql(g, "SELECT ?w { ?w ex:hasName ?n }").diagnosis == [] and run_sparql(g, "SELECT ?w {").error
     assert run_sparql(g, "SELECT ?w { ?w ex:hasColor ?c }", log="/nonexistent/dir/x").df is not None
+
+
+def test_jsonld():
+    from quern.sources.rdf import parse_jsonld
+
+    text = """{"@context": {"@vocab": "http://v/", "n": {"@id": "http://v/name", "@language": "EN"}, "knows": {"@type": "@id"}, "ex": "http://ex/"}, "@graph": [
+      {"@id": "ex:a", "@type": ["Person", "ex:Thing"], "n": "A", "knows": ["ex:b", {"n": "C"}], "age": 3, "ok": true, "list": {"@list": ["x", "y"]}, "d": {"@value": "1", "@type": "ex:t"}, "gone": null}]}"""
+    got = parse_jsonld(text, "f")
+    said = {(q[3], q[4], q[5], q[6], q[7]) for q in got if q[1] == "http://ex/a"}
+    xsd = "http://www.w3.org/2001/XMLSchema#"
+    assert {("http://v/name", "A", "lit", "http://www.w3.org/1999/02/22-rdf-syntax-ns#langString", "en"), ("http://v/knows", "http://ex/b", "iri", None, None), ("http://v/age", "3", "lit", xsd + "integer", None), ("http://v/ok", "true", "lit", xsd + "boolean", None), ("http://v/d", "1", "lit", "http://ex/t", None)} <= said
+    assert sum(q[3].endswith("#first") for q in got) == 2 and got == parse_jsonld(text, "f") and not any("gone" in q[3] for q in got)
+
+
+def test_load_warns_if_inference_fails(spark, tmp_path, monkeypatch):
+    from quern.sources import rdf
+
+    (tmp_path / "a.ttl").write_text("<urn:a> a <urn:B> .")
+    (tmp_path / "_skip.ttl").write_text("not turtle")
+    (tmp_path / "_ontology.ttl").write_text("<urn:B> <http://www.w3.org/2000/01/rdf-schema#subClassOf> <urn:C> .")
+    assert rdf.load_dataset(spark, str(tmp_path)).count() == 3
+    monkeypatch.setattr(rdf, "materialize", lambda q: 1 / 0)
+    with pytest.warns(UserWarning):
+        assert rdf.load_dataset(spark, str(tmp_path)).count() == 2

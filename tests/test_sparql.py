@@ -200,3 +200,27 @@ def test_catalogue_names_are_unique():
 
     assert len(catalog.queries()) > 90 and set(catalog.oracle_sql()) <= set(catalog.queries())
     assert not any(k for k, _ in itertools.groupby(sorted(catalog.queries())) if k.startswith("p1_"))
+
+
+def test_products_and_unbound_joins(spark, monkeypatch):
+    from quern.plans import compile as C
+
+    g = graph(spark, [("a", "p", "x"), ("b", "q", "y"), ("c", "p", "z")])
+    assert g.query("SELECT ?s ?t WHERE { ?s ex:p ?x . ?t ex:q ?y }").count() == 2
+    monkeypatch.setattr(C, "PRODUCT", 0)
+    with pytest.raises(SparqlError):
+        g.query("SELECT ?s ?t WHERE { ?s ex:p ?x . ?t ex:q ?y }")
+    g.products = True
+    assert g.query("SELECT ?s ?t WHERE { ?s ex:p ?x . ?t ex:q ?y }").count() == 2
+
+
+def test_exists_inside_or_is_the_same_in_any_order(spark):
+    g = graph(spark, [("a", "p", "1", "integer"), ("b", "p", "2", "integer"), ("c", "p", "3", "integer"), ("b", "q", "z"), ("b", "q", "w")])
+    g.source.df = g.source.df.repartition(7)
+    assert sorted(r["s"] for r in g.query("SELECT ?s WHERE { ?s ex:p ?n FILTER(?n > 2 || EXISTS { ?s ex:q ?x }) }").collect()) == [EX + "b", EX + "c"]
+
+
+def test_construct(spark):
+    g = graph(spark, [("a", "p", "x"), ("a", "name", "A", "string"), ("b", "p", "y")])
+    made = g.construct("CONSTRUCT { ?o ex:of ?s . ?s ex:called ?n . ?n ex:bad ?s } WHERE { ?s ex:p ?o OPTIONAL { ?s ex:name ?n } }")
+    assert sorted((r["s"].split("/")[-1], r["p"].split("/")[-1], r["o"].split("/")[-1]) for r in made.collect()) == [("a", "called", "A"), ("x", "of", "a"), ("y", "of", "b")]
