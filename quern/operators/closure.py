@@ -20,21 +20,23 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def transitive_closure(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 64) -> DataFrame:
     """Distinct ``(src, dst)`` with a path of one or more edges from src to dst.
 
-    Paths double in length each round (known pairs join known pairs), so a path of n edges takes log2(n) rounds; only pairs found
-    in the last round are extended, and pairs known before are dropped by an anti-join.  A round writes the pairs that it found, nothing else.
-    Null ends are dropped.  A closure that is not complete after ``rounds`` rounds (paths of 2 ** 64 edges) is an error.
+    After k rounds all paths of up to 2 ** k edges are known, and beside them the pairs joined by exactly that many; the known pairs are
+    extended by these, so a path of n edges takes log2(n) rounds and each length is derived once.  Pairs known before are dropped by an anti-join, and a
+    round without a new one is the last.  Null ends are dropped.  A closure that is not complete after ``rounds`` rounds is an error.
     """
-    parts = [durable(edges.selectExpr(f"`{src}` as src", f"`{dst}` as dst").dropna().distinct())]
+    step = durable(edges.selectExpr(f"`{src}` as src", f"`{dst}` as dst").dropna().distinct())
+    parts = [step]
     for _ in range(rounds):
-        known, delta = _union(parts), parts[-1]
-        ahead = _joined(delta, known)
-        if len(parts) > 1:
-            ahead = ahead.unionByName(_joined(_union(parts[:-1]), delta))
-        fresh = durable(ahead.distinct().join(known, ["src", "dst"], "left_anti"))
+        known = _union(parts)
+        fresh = durable(_joined(known, step).distinct().join(known, ["src", "dst"], "left_anti"))
         if fresh.isEmpty():
             discard(fresh)
             return known
         parts.append(fresh)
+        longer = durable(_joined(step, step).distinct())
+        if step is not parts[0]:
+            discard(step)
+        step = longer
     raise RuntimeError(f"the closure is not complete after {rounds} rounds")
 
 

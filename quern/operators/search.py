@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.stem import plain_tokens, stemmed_tokens, tokens
 from quern.operators.relational import top_k
-from quern.runtime import checkpoint_dir, discard, durable, path_exists, ship
+from quern.runtime import checkpoint_dir, durable, path_exists, ship
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 #: Vectors of a query set sent to the executors at once.
@@ -24,9 +24,15 @@ class TextIndex:
 
     def __init__(self, docs: DataFrame, ident: str = "id", text: str = "text", stemmed: bool = True, keep: tuple[str, ...] = ()):
         self.stemmed, self.keep = stemmed, keep
+        made, postings = self._tables(docs, ident, text, stemmed, keep)
+        self._settle(durable(made), durable(postings))
+
+    @staticmethod
+    def _tables(docs: DataFrame, ident: str, text: str, stemmed: bool, keep: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
         words = stemmed_tokens(F.col(text)) if stemmed else plain_tokens(F.col(text))
         base = docs.where(F.col(ident).isNotNull()).select(F.col(ident).alias("id"), *keep, words.alias("words"))
-        self._settle(durable(base.select("id", *keep, F.size("words").alias("len"))), durable(base.select("id", F.explode("words").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf")).repartitionByRange("term")))
+        postings = base.select("id", F.explode("words").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf")).repartitionByRange("term")
+        return base.select("id", *keep, F.size("words").alias("len")), postings
 
     def _settle(self, docs: DataFrame, postings: DataFrame) -> None:
         self.docs, self.postings = docs, postings
@@ -45,12 +51,9 @@ class TextIndex:
         spark = docs.sparkSession
         root = f"{checkpoint_dir(spark)}/quern-index/{key}"
         if not path_exists(spark, f"{root}/done"):
-            made = cls(docs, ident, text, stemmed, keep)
-            made.docs.write.mode("overwrite").parquet(f"{root}/docs")
-            made.postings.write.mode("overwrite").parquet(f"{root}/postings")
+            for name, rows in zip(("docs", "postings"), cls._tables(docs, ident, text, stemmed, keep)):
+                rows.write.mode("overwrite").parquet(f"{root}/{name}")
             spark.range(1).write.mode("overwrite").parquet(f"{root}/done")  # written last: a half-written index is never read
-            discard(made.docs)
-            discard(made.postings)
         out = cls.__new__(cls)
         out.stemmed, out.keep = stemmed, keep
         out._settle(spark.read.parquet(f"{root}/docs"), spark.read.parquet(f"{root}/postings"))
