@@ -9,6 +9,29 @@ from quern.functions.uris import canonical_uri, json_uris, map_uris, qids
 from quern.runtime import discard, durable, settles
 
 
+#: A key with more rows than this, and more than a HUBS-th of all rows, is a hub: there are fewer than HUBS of them, whatever the table.
+HOT, HUBS = 100_000, 1000
+
+
+def hubs(stream: DataFrame, key: str) -> list:
+    """The keys that are hubs of a written table; fewer than HUBS, as each holds more than that share of its rows."""
+    n = stream.count()  # from the Parquet footers
+    if n <= HOT:
+        return []
+    most = max(HOT, n / HUBS)
+    return [r[key] for r in stream.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most).select(key).limit(HUBS).collect()]
+
+
+def hub_join(stream: DataFrame, table: DataFrame, key: str, hot: list) -> DataFrame:
+    """``stream`` joined with ``table``, which has one row a key.  Rows of hubs never meet in one task: their fewer than HUBS rows of the table go to
+    where the stream is; the rest is joined by a shuffle."""
+    if not hot:
+        return stream.join(table, key)
+    is_hub = F.col(key).isin(*hot)
+    cold = stream.where(~is_hub).join(table.where(~is_hub), key)
+    return cold.unionByName(stream.where(is_hub).join(F.broadcast(table.where(is_hub)), key))
+
+
 def _distinct_edges(a, b, df: DataFrame) -> DataFrame:
     return df.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where(F.col("u") < F.col("v")).distinct()
 
@@ -26,7 +49,7 @@ def _hook(edges: DataFrame) -> DataFrame:
     chosen = durable(best.select("node", parent.alias("parent")))
     up = chosen.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
     root = (F.col("grand") == F.col("node")) & (F.col("node") < F.col("parent"))
-    return chosen.join(up, "parent").select("node", F.when(root, F.col("node")).otherwise(F.col("parent")).alias("parent"))
+    return hub_join(chosen, up, "parent", hubs(chosen, "parent")).select("node", F.when(root, F.col("node")).otherwise(F.col("parent")).alias("parent"))
 
 
 def _collapse(hooks: DataFrame) -> DataFrame:
@@ -34,7 +57,7 @@ def _collapse(hooks: DataFrame) -> DataFrame:
     state = durable(hooks)
     while True:
         up = state.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        moved = durable(state.join(up, "parent").select("node", F.col("grand").alias("parent"), (F.col("grand") != F.col("parent")).alias("moved")))
+        moved = durable(hub_join(state, up, "parent", hubs(state, "parent")).select("node", F.col("grand").alias("parent"), (F.col("grand") != F.col("parent")).alias("moved")))
         discard(state)
         if moved.where("moved").isEmpty():
             return moved.select("node", "parent")
@@ -60,7 +83,7 @@ def connected_components(edges: DataFrame, src: str, dst: str, nodes: DataFrame
         maps.append(stars)
         left = stars.select(F.col("node").alias("u"), F.col("parent").alias("ru"))
         right = stars.select(F.col("node").alias("v"), F.col("parent").alias("rv"))
-        relabelled = open_edges.join(left, "u").join(right, "v").where("ru <> rv")
+        relabelled = hub_join(hub_join(open_edges, left, "u", hubs(open_edges, "u")), right, "v", hubs(open_edges, "v")).where("ru <> rv")
         following = durable(_distinct_edges(F.col("ru"), F.col("rv"), relabelled))
         discard(open_edges)
         open_edges = following
@@ -71,7 +94,7 @@ def connected_components(edges: DataFrame, src: str, dst: str, nodes: DataFrame
             composed = earlier.join(later, "parent", "left").select("node", F.coalesce("root", "parent").alias("parent"))
         composed = durable(composed)
         names = composed.groupBy("parent").agg(F.min("node").alias("component"))
-        linked = composed.join(names, "parent").select(F.col("node").alias("id"), "component")
+        linked = hub_join(composed, names, "parent", hubs(composed, "parent")).select(F.col("node").alias("id"), "component")
     else:
         linked = all_nodes.select("id", F.col("id").alias("component"))
     if nodes is None:
@@ -82,9 +105,9 @@ def connected_components(edges: DataFrame, src: str, dst: str, nodes: DataFrame
 
 def shared_key_edges(records: DataFrame, record: str, key: str) -> DataFrame:
     """``(src, dst)``: each record tied to the smallest record that holds the same key: n - 1 edges for n holders, never n squared."""
-    held = records.select(F.col(record).alias("src"), F.col(key).alias("k")).where("src is not null and k is not null").distinct()
+    held = durable(records.select(F.col(record).alias("src"), F.col(key).alias("k")).where("src is not null and k is not null").distinct())
     first = held.groupBy("k").agg(F.min("src").alias("dst"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "dst")
-    return held.join(first, "k").where("src <> dst").select("src", "dst")
+    return hub_join(held, first, "k", hubs(held, "k")).where("src <> dst").select("src", "dst")
 
 
 def entity_keys(entities: DataFrame) -> DataFrame:
@@ -97,6 +120,5 @@ def entity_keys(entities: DataFrame) -> DataFrame:
 @settles
 def entity_groups(entities: DataFrame) -> DataFrame:
     """``(group_id, id)`` for every entity record: the smallest id among the records tied to it by a URI or a QID."""
-    keys = durable(entity_keys(entities))
-    groups = connected_components(shared_key_edges(keys, "id", "key"), "src", "dst", entities, "id")
+    groups = connected_components(shared_key_edges(entity_keys(entities), "id", "key"), "src", "dst", entities, "id")
     return groups.select(F.col("component").alias("group_id"), "id")

@@ -260,6 +260,21 @@ def test_components(spark, kind):
     assert dict(rows(components.connected_components(df, "a", "b", nodes))) == _union_find(edges, range(n + 3))
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    """Hubs are joined apart: the same result, and no more hubs than the bound."""
+    edges = [(0, i) for i in range(1, 60)] + [(100 + i, 100) for i in range(1, 50)] + [(5, 105), (200, 201), (201, 202)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = rows(components.connected_components(df, "a", "b"))
+    held = [(i, "k" if i < 40 else f"m{i // 2}") for i in range(80)]
+    keys = spark.createDataFrame(held, "id int, key string")
+    tied = rows(components.shared_key_edges(keys, "id", "key"))
+    monkeypatch.setattr(components, "HOT", 5)
+    monkeypatch.setattr(components, "HUBS", 8)
+    found = components.hubs(durable(df), "a")
+    assert found == [0] and rows(components.connected_components(df, "a", "b")) == want and len({c for _, c in want}) == 2
+    assert rows(components.shared_key_edges(keys, "id", "key")) == tied and len(tied) == 39 + 20
+
+
 def test_components_empty(spark):
     e = spark.createDataFrame([], "a string, b string")
     assert components.connected_components(e, "a", "b").count() == 0
