@@ -22,10 +22,10 @@ def _deletions(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), F.when(F.char_length(word).between(1, LONG + RADIUS + COVER), less).otherwise(F.array().cast("array<string>"))))
 
 
-def _spread(words: DataFrame, key: str) -> DataFrame:
+def _spread(words: DataFrame) -> DataFrame:
     """Words over all tasks: they are few bytes, which readers and AQE would put into one task, but each becomes hundreds of keys."""
     spark = words.sparkSession
-    return words.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), default_parallelism(spark)), key)
+    return words.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), default_parallelism(spark)))  # by turns: hashing would be merged with the shuffle before
 
 
 def pivots(words: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def pivots(words: DataFrame) -> DataFrame:
     that is no pivot and has none near becomes its own.
     """
     words = durable(words)
-    spread = _spread(words, "word").select("word", "n", F.explode(_deletions(F.col("word"))).alias("v"))
+    spread = _spread(words).select("word", "n", F.explode(_deletions(F.col("word"))).alias("v"))
     other = spread.select(F.col("word").alias("other"), F.col("n").alias("m"), "v")
     near = spread.join(other.hint("merge"), "v").where("word <> other").select("word", "n", "other", "m").distinct()
     near = durable(near.where(F.levenshtein("word", "other", COVER) >= 0))
@@ -80,11 +80,11 @@ def near_cells(words: DataFrame, own: DataFrame) -> DataFrame:
     cells = durable(own.groupBy("pivot").agg(F.max("gap").alias("reach")))
     widths = [r["reach"] for r in cells.select("reach").distinct().collect()]  # 0 to COVER
     keys = lambda c, asked, reach: _keys(F.col(c), asked, RADIUS + reach)
-    asked = _spread(words, "word").select("word", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *[keys("word", True, w) for w in widths]))).alias("v"))
+    asked = _spread(words).select("word", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *[keys("word", True, w) for w in widths]))).alias("v"))
     own_keys = F.array().cast("array<string>")
     for w in widths:  # a cell of one word is looked for within RADIUS only
         own_keys = F.when(F.col("reach") == w, keys("pivot", False, w)).otherwise(own_keys)
-    held = _spread(cells, "pivot").select("pivot", "reach", F.explode(own_keys).alias("v"))
+    held = _spread(cells).select("pivot", "reach", F.explode(own_keys).alias("v"))
     met = asked.join(held.hint("merge"), "v").select("word", "pivot", "reach").distinct()
     near = met.withColumn("far", F.levenshtein("word", "pivot", RADIUS + COVER)).where("far >= 0")
     return near.where(F.col("far") <= F.col("reach") + RADIUS).select("word", "pivot", "far")
