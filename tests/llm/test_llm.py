@@ -1,5 +1,6 @@
 """Each operator against brute force on small fixtures, and on nulls, blanks, ties, repeats, empty tables and clashing columns."""
 
+import itertools
 import math
 import random
 import time
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import components, leakage, linkage, mixture, names, neighbours, sentences, survivors, topn, variants
-from quern.llm.metric import radius_join
+from quern.llm.metric import near_points, radius_join
 from quern.runtime import durable
 
 
@@ -349,6 +350,48 @@ def test_radius_join_is_exact(spark):
     assert got == want and len(want) > 50
 
 
+def test_points_of_dense_words_are_not_copied_to_products_of_cells(spark):
+    rng = random.Random(11)
+    words = ["".join(w) for w in itertools.product("abc", repeat=4)]
+    left, right = ([(rng.choice(words), rng.choice(words)) for _ in range(300)] for _ in "lr")
+    right += [(words[0], w) for w in words] + [(w, words[0]) for w in words]  # (0, 0) is frequent on both axes
+    left.append((words[0], words[0]))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    written = lambda: sum(s.shuffleWriteRecords() for s in map(stages().apply, range(stages().size())))
+    stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    store = spark.sparkContext._jsc.sc().statusStore()
+    try:
+        began = written()
+        got = {tuple(r)[:4] for r in radius_join(spark.createDataFrame(left, "f string, s string"), spark.createDataFrame(right, "f string, s string"), "f", "s").collect()}
+        copies = written() - began
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    ok = [(p, q) for p in set(left) for q in set(right)]
+    d1, d2 = (names.distances([p[k] for p, _ in ok], [q[k] for _, q in ok]) for k in (0, 1))
+    assert got == {(*p, *q) for (p, q), x, y in zip(ok, d1, d2) if x <= 2 and y <= 2}
+    assert copies < 100_000
+
+
+def test_points_frequent_on_both_axes(spark):
+    x, y, u, z = "xxxxxx", "yyyyyy", "uuuuuu", "zzzzzz"
+    left = spark.createDataFrame([*[(f"l{k}", x, y) for k in range(3)], ("l3", x, z)], "name string, l1 string, l2 string")
+    right = spark.createDataFrame([(f"r{k}", x if k % 2 else u, u if k % 2 else y) for k in range(40)] + [("both", x, y)], "other string, r1 string, r2 string")
+    near = lambda *ws: spark.createDataFrame([(w, w, w, 0) for w in ws], "l string, r string, pivot string, d int")
+    got = near_points(left, right, near(x), near(y, z)).collect()
+    assert sorted((r["name"], r["other"], r["d1"], r["d2"]) for r in got) == [(f"l{k}", "both", 0, 0) for k in range(3)]
+
+
+def test_durable_leaves_no_shuffle_files(spark):
+    def held():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for i in range(files.size()) if (n := files.apply(i).getName()).startswith("shuffle_")}
+
+    before = held()
+    made = durable(spark.range(5000).repartition(5).groupBy((F.col("id") % 7).alias("k")).count())
+    assert held() <= before and made.count() == 7
+
+
 def test_link_variants(spark):
     people = [entity("r1", "L. Gamosevius Grevoplutus", era="250 BC–190 BC"), entity("r2", "Lucius GAMOSEVIVS M. f. Grevoplutus"), entity("r3", "Grevoplutus, Q. Gamosevius", era="10 AD to 60 AD"), entity("r4", "Gamos. Grevoplutus"), entity("r5", "[---]"), entity("r6", "L. Gamosevius Grevoplutus", kind="place"), entity("r7", None), entity("r8", "Gamosevius Grevoplutillus", era="00010/00060"), entity("r1", "L. Gamosevius Grevoplutus", era="250 BC–190 BC")]
     ctx = [(1, "L. Gamosevius Grevoplutus", "L.", None, None, None, None, -220, None), (2, "Gamosevius Grevoplutus", None, None, None, None, None, 30, 40), (3, None, None, None, None, None, None, None, None), (4, "Γαμοσεουιος Γρεουοπλουτος, Κόιντος", "Q.", None, None, None, None, None, None), (5, "x" * 5000, None, None, None, None, None, None, None)]
